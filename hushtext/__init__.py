@@ -13,6 +13,8 @@ from hushtext.operators.report import (
 from hushtext.plans.dictionary import build_dictionary
 from hushtext.plans.options import Options
 from hushtext.plans.rules import RULE_IDS
+from hushtext.sources.tables import read_table, spread, write_redacted
+from hushtext.streaming import redact_stream
 
 __all__ = [
     "RULE_IDS",
@@ -23,9 +25,13 @@ __all__ = [
     "format_report",
     "normalize_text",
     "observe_redactions",
+    "read_table",
     "redact",
     "redact_rule",
+    "redact_stream",
     "redaction_report",
     "redaction_summary",
+    "spread",
     "tidy_text",
+    "write_redacted",
 ]

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushtext.functions.text import contains_any
-
 OPEN = "\ufdd0"
 CLOSE = "\ufdd1"
 ESCAPE = "\ufdd2"
@@ -27,22 +25,26 @@ _SPELLINGS = (
 )
 
 
-def has_mark(text: Column) -> Column:
-    return F.contains(text, F.lit(OPEN))
+def has_mark(name: str) -> Column:
+    return F.expr(f"contains({name}, '{OPEN}')")
 
 
-def protect(text: Column) -> Column:
-    spelled = text
+def protect(name: str) -> Column:
+    """The column with marks of its own spelled out."""
+    spelled = F.col(name)
     for raw, spelling in _SPELLINGS:
         spelled = F.replace(spelled, F.lit(raw), F.lit(spelling))
-    return F.when(contains_any(text, (OPEN, CLOSE, ESCAPE)), spelled).otherwise(text)
+    taken = " or ".join(f"contains({name}, '{raw}')" for raw, _ in _SPELLINGS)
+    return F.when(F.expr(taken), spelled).otherwise(F.col(name))
 
 
-def unprotect(text: Column) -> Column:
-    raw_text = text
+def unprotect(name: str) -> Column:
+    """The column with spelled-out marks brought back."""
+    raw_text = F.col(name)
     for raw, spelling in reversed(_SPELLINGS):
         raw_text = F.replace(raw_text, F.lit(spelling), F.lit(raw))
-    return F.when(F.contains(text, F.lit(ESCAPE)), raw_text).otherwise(text)
+    spelled = F.expr(f"contains({name}, '{ESCAPE}')")
+    return F.when(spelled, raw_text).otherwise(F.col(name))
 
 
 def protect_term(term: str) -> str:

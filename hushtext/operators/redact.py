@@ -12,16 +12,10 @@ from pyspark.sql import functions as F
 
 from hushtext.functions import marks
 from hushtext.functions.text import (
-    NFKC_SPACES,
-    NORMAL_SPACES,
     contains_any,
-    fold_symbols,
     has_non_ascii,
-    nfkc_or_null,
-    squeeze_punctuation,
-    squeeze_spaces,
-    strip_space_before_punctuation,
-    trim_whitespace,
+    normalize_column,
+    tidy_column,
 )
 from hushtext.operators.report import counts_struct, counts_total
 from hushtext.plans.fixed_values import STOP_TERMS
@@ -66,19 +60,17 @@ def redact(
     added = [REDACTED, COUNTS, TOTAL] if counts else [REDACTED]
     _check_columns(df, added)
 
-    work, tallies = _apply(_normalized(df, text_col), rules)
-    work = work.withColumn(
-        _TEXT, squeeze_punctuation(strip_space_before_punctuation(_TEXT))
-    ).withColumn(_TEXT, trim_whitespace(_TEXT, NORMAL_SPACES))
+    work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
+    work = tidy_column(work, _TEXT)
     out = [F.col(f"`{c}`") for c in df.columns]
-    out.append(marks.unprotect(F.col(_TEXT)).alias(REDACTED))
+    out.append(marks.unprotect(_TEXT).alias(REDACTED))
     if not counts:
         return work.select(*out)
-    per_category: dict[str, list[Column]] = {}
+    per_category: dict[str, list[str]] = {}
     for rule in rules:
-        per_category.setdefault(rule.category, []).append(F.col(tallies[rule.id]))
+        per_category.setdefault(rule.category, []).append(tallies[rule.id])
     out.append(counts_struct(per_category).alias(COUNTS))
-    return work.select(*out).withColumn(TOTAL, counts_total(F.col(COUNTS)))
+    return work.select(*out).withColumn(TOTAL, counts_total(COUNTS))
 
 
 def redact_rule(
@@ -96,10 +88,10 @@ def redact_rule(
     if not rules:
         raise ValueError(f"unknown rule: {rule_id!r}")
     _check_columns(df, [REDACTED, "n"])
-    work, tallies = _apply(_normalized(df, text_col), rules)
+    work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
     return work.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        marks.unprotect(F.col(_TEXT)).alias(REDACTED),
+        marks.unprotect(_TEXT).alias(REDACTED),
         F.coalesce(F.col(tallies[rule_id]), F.lit(0).cast("long")).alias("n"),
     )
 
@@ -116,18 +108,6 @@ def _check_columns(df: DataFrame, added: list[str]) -> None:
         raise ValueError(f"input already has the columns {taken}")
 
 
-def _normalized(df: DataFrame, text_col: str) -> DataFrame:
-    """Normalize; the steps only non-ASCII text can need skip ASCII rows."""
-    text, normal = F.col(text_col), F.col(_NFKC)
-    return (
-        df.withColumn(_NFKC, nfkc_or_null(text))
-        .withColumn(_NFKC, fold_symbols(normal))
-        .withColumn(_NFKC, marks.protect(normal))
-        .withColumn(_TEXT, F.coalesce(normal, text))
-        .withColumn(_TEXT, squeeze_spaces(_TEXT, NFKC_SPACES))
-    )
-
-
 def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]:
     """Apply rules in order to the working text.
 
@@ -135,7 +115,6 @@ def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]
     step, so a single nested expression would double with each rule.
     """
     df, flags = _with_guards(df, rules)
-    text, marked = F.col(_TEXT), F.col(_MARKED)
     tallies: dict[str, str] = {}
     pending: dict[str, Column] = {}
     cuts: list[str] = []
@@ -143,25 +122,24 @@ def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]
     for rule in rules:
         name = tallies[rule.id] = _PREFIX + "n_" + rule.id
         mark = f"{marks.OPEN}$0{marks.CLOSE}" if rule.keep_stop_terms else marks.OPEN
-        found = F.regexp_replace(text, rule.pattern, mark)
+        found = F.regexp_replace(_TEXT, rule.pattern, mark)
         if rule.id in flags:
-            flag = F.col(flags[rule.id])
+            flag = flags[rule.id]
             if rule.guard.stems or rule.guard.words:
-                for cut in cuts:
-                    flag = flag | (F.col(cut) > 0)
-            found = F.when(flag, found).otherwise(text)
+                flag = " or ".join([flag, *(f"{cut} > 0" for cut in cuts)])
+            found = F.when(F.expr(flag), found).otherwise(F.col(_TEXT))
         df = df.withColumns(pending | {_MARKED: found})
         if rule.keep_stop_terms:
-            df = df.withColumn(_MARKED, _unbracket_stop_terms(marked))
-            tokens = F.regexp_replace(marked, _BRACKETED, rule.token)
-            pending = {}
-            count = {name: _count_marks(marked)}
+            df = df.withColumn(_MARKED, _unbracket_stop_terms())
+            tokens = f"regexp_replace({_MARKED}, '{_BRACKETED}', '{rule.token}')"
+            pending, count = {}, {name: _count_marks()}
         else:
-            tokens = F.replace(marked, F.lit(marks.OPEN), F.lit(rule.token))
+            tokens = f"replace({_MARKED}, '{marks.OPEN}', '{rule.token}')"
             # each mark grows into a token, so the lengths tell how many
-            pending = {name: _grown_by(len(rule.token) - marks.WIDTH)}
-            count = {}
-        replaced = F.when(marks.has_mark(marked), tokens).otherwise(marked)
+            pending, count = {name: _grown_by(len(rule.token) - marks.WIDTH)}, {}
+        replaced = F.expr(
+            f"if(contains({_MARKED}, '{marks.OPEN}'), {tokens}, {_MARKED})"
+        )
         df = df.withColumns({_TEXT: replaced} | count)
         if rule.cuts_words:
             cuts.append(name)
@@ -231,13 +209,14 @@ def _stop_pattern() -> str:
 _STOP_PATTERN = _stop_pattern()
 
 
-def _unbracket_stop_terms(marked: Column) -> Column:
-    kept = F.regexp_replace(marked, _STOP_PATTERN, "$1")
-    return F.when(marks.has_mark(marked), kept).otherwise(marked)
+def _unbracket_stop_terms() -> Column:
+    kept = F.regexp_replace(_MARKED, _STOP_PATTERN, "$1")
+    return F.when(marks.has_mark(_MARKED), kept).otherwise(F.col(_MARKED))
 
 
-def _count_marks(marked: Column) -> Column:
-    without = F.replace(marked, F.lit(marks.OPEN), F.lit(""))
-    lost = F.octet_length(marked) - F.octet_length(without)
-    count = (lost / marks.WIDTH).cast("long")
-    return F.when(marks.has_mark(marked), count).otherwise(F.lit(0).cast("long"))
+def _count_marks() -> Column:
+    return F.expr(
+        f"if(contains({_MARKED}, '{marks.OPEN}'), cast((octet_length({_MARKED}) - "
+        f"octet_length(replace({_MARKED}, '{marks.OPEN}', ''))) div {marks.WIDTH} "
+        "as long), 0L)"
+    )

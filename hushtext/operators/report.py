@@ -14,21 +14,21 @@ COUNTS = "redaction_counts"
 TOTAL = "redactions_total"
 
 
-def counts_struct(per_category: Mapping[str, Sequence[Column]]) -> Column:
-    """Struct of the 17 counters, none null; passes of one category add up."""
-    zero = F.lit(0).cast("long")
+def counts_struct(per_category: Mapping[str, Sequence[str]]) -> Column:
+    """Struct of the 17 counters, none null; passes of one category add up.
+
+    ``per_category`` names the count columns of each category.
+    """
     fields = []
     for field, category in COUNT_FIELDS.items():
-        tallies = [F.coalesce(n, zero) for n in per_category.get(category, ())]
-        fields.append(sum(tallies[1:], tallies[0] if tallies else zero).alias(field))
-    return F.struct(*fields)
+        tallies = [f"coalesce({name}, 0L)" for name in per_category.get(category, ())]
+        fields.append(f"'{field}', {' + '.join(tallies) or '0L'}")
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
-def counts_total(counts: Column | str = COUNTS) -> Column:
+def counts_total(counts: str = COUNTS) -> Column:
     """Sum of all counters of a counts struct."""
-    counts = F.col(counts) if isinstance(counts, str) else counts
-    fields = [counts[field] for field in COUNT_FIELDS]
-    return sum(fields[1:], fields[0])
+    return F.expr(" + ".join(f"{counts}.{field}" for field in COUNT_FIELDS))
 
 
 def counts_json(counts: Column | str = COUNTS) -> Column:
