@@ -13,6 +13,8 @@ from hushtext.operators.report import (
 from hushtext.plans.dictionary import build_dictionary
 from hushtext.plans.options import Options
 from hushtext.plans.rules import RULE_IDS
+from hushtext.sources.config import load_options, parse_options
+from hushtext.sources.files import read_files, redact_files
 from hushtext.sources.tables import read_table, spread, write_redacted
 from hushtext.streaming import redact_stream
 
@@ -23,10 +25,14 @@ __all__ = [
     "counts_json",
     "counts_total",
     "format_report",
+    "load_options",
     "normalize_text",
     "observe_redactions",
+    "parse_options",
+    "read_files",
     "read_table",
     "redact",
+    "redact_files",
     "redact_rule",
     "redact_stream",
     "redaction_report",

@@ -19,6 +19,13 @@ WORD = rf"\w{LATIN}"
 NAME = rf"(?:[A-Za-z{LATIN}’']|_1_)+"
 NAME_DASH = rf"(?:[A-Za-z{LATIN}’'-]|_1_)+"
 FACILITY_WORD = rf"[A-Z](?:[A-Za-z0-9{LATIN}’'.-]|_1_)+"
+# the same for a matcher that knows Unicode
+NATIVE = {
+    "word": r"\w",
+    "name": r"[\p{L}’']+",
+    "name_dash": r"[\p{L}’'-]+",
+    "facility_word": r"[A-Z][\p{L}\p{M}\p{N}’'.-]+",
+}
 SPACES = "".join(rf"\x{{{ord(ch):X}}}" for ch in WHITE_SPACE)
 ODD_SPACES = "".join(rf"\x{{{ord(ch):X}}}" for ch in WHITE_SPACE if ch not in "\r\n")
 _ID_TAIL = r"[A-Z0-9]{3,}(?:[-\s][A-Z0-9]{2,}){0,3}\b"
@@ -34,18 +41,28 @@ def _words(terms) -> str:
     return "|".join(t.translate(escape).replace("'", "[’']") for t in terms)
 
 
-def patterns(names=(), keywords=(), low=6, high=10) -> dict[str, str]:
-    """RE2 pattern of every rule, in order."""
+def patterns(
+    names=(),
+    keywords=(),
+    low=6,
+    high=10,
+    *,
+    word=WORD,
+    name=NAME,
+    name_dash=NAME_DASH,
+    facility_word=FACILITY_WORD,
+) -> dict[str, str]:
+    """Plain pattern of every rule, in order."""
     titles = "|".join(
         [rf"{t}\.?" for t in fixed.SHORT_TITLES] + list(fixed.LONG_TITLES)
     )
-    rest = rf"\s+[A-Z]{NAME_DASH}(?:\s+[A-Z]{NAME_DASH})?"
+    rest = rf"\s+[A-Z]{name_dash}(?:\s+[A-Z]{name_dash})?"
     facilities = _words(build_dictionary(fixed.FACILITY_TERMS, keywords))
     surnames = _words(build_dictionary(fixed.SURNAMES, names))
     return {
-        "email": rf"(?i)\b[{WORD}.+%-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
-        "email_obfuscated": rf"(?i)\b[{WORD}.+-]+(?:\s+at\s+|\s*@\s*)[{WORD}.-]+"
-        rf"(?:\s+dot\s+[{WORD}.-]+)+\b",
+        "email": rf"(?i)\b[{word}.+%-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
+        "email_obfuscated": rf"(?i)\b[{word}.+-]+(?:\s+at\s+|\s*@\s*)[{word}.-]+"
+        rf"(?:\s+dot\s+[{word}.-]+)+\b",
         "url": r"(?i)\b(?:https?://|www\.)\S+",
         "phone": r"(?i)\b(?:\+?1[-.\s•·]?)?(?:\(?\d{3}\)?|\d{3})[-.\s•·]?\d{3}"
         r"[-.\s•·]?\d{4}(?:\s*(?:x|ext\.?|extension)\s*\d{1,6})?\b",
@@ -56,13 +73,13 @@ def patterns(names=(), keywords=(), low=6, high=10) -> dict[str, str]:
         "zip": r"\b\d{5}(?:-\d{4})?\b",
         "facility_pattern": r"(?i)\b(?:St\.|Saint|Mt\.|Mount|Univ\.|University"
         r"|Memorial|Children'?s|General|County)\s+"
-        rf"(?:{FACILITY_WORD}(?:\s+{FACILITY_WORD}){{0,4}})"
+        rf"(?:{facility_word}(?:\s+{facility_word}){{0,4}})"
         r"(?:\s+(?:Hospital|Med(?:ical)?\s*Center|Clinic|Health(?:care)?"
         r"|Infirmary))?\b",
         "facility_dict": rf"(?i)\b(?:{facilities})\b",
         "address": r"(?i)\b\d{1,6}\s+(?:[NSEW]\.?\s+)?"
-        rf"(?:\d+(?:st|nd|rd|th)|[A-Z][{WORD}.-]*)"
-        rf"(?:\s+(?:\d+(?:st|nd|rd|th)|[A-Z][{WORD}.-]*)){{0,3}}"
+        rf"(?:\d+(?:st|nd|rd|th)|[A-Z][{word}.-]*)"
+        rf"(?:\s+(?:\d+(?:st|nd|rd|th)|[A-Z][{word}.-]*)){{0,3}}"
         r"\s+(?:Street|St\.?|Avenue|Ave\.?|Road|Rd\.?|Drive|Dr\.?|Boulevard"
         r"|Blvd\.?|Lane|Ln\.?|Court|Ct\.?|Place|Pl\.?|Terrace|Ter\.?|Way)"
         r"(?:\s*,?\s*(?:Apt|Apartment|Unit|Suite|Ste\.?|#)\s*[-A-Z0-9]+)?",
@@ -83,7 +100,7 @@ def patterns(names=(), keywords=(), low=6, high=10) -> dict[str, str]:
         "person_dict": rf"(?i)\b(?:{surnames})\b",
         "person_titled": rf"(?i)\b(?:{titles}){rest}",
         "person_first_last": rf"(?i)\b(?:{_words(fixed.FIRST_NAMES)}){rest}",
-        "person_capitals": rf"\b[A-Z]{NAME}\s+[A-Z]{NAME}(?:\s+[A-Z]{NAME})?\b",
+        "person_capitals": rf"\b[A-Z]{name}\s+[A-Z]{name}(?:\s+[A-Z]{name})?\b",
         "date": r"(?i)\b(\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})|\d{4}-\d{2}-\d{2}"
         r"|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*\s+"
         r"\d{1,2},?\s+\d{2,4})\b",
