@@ -62,15 +62,14 @@ def redact(
 
     work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
     work = tidy_column(work, _TEXT)
-    out = [F.col(f"`{c}`") for c in df.columns]
-    out.append(marks.unprotect(_TEXT).alias(REDACTED))
-    if not counts:
-        return work.select(*out)
-    per_category: dict[str, list[str]] = {}
-    for rule in rules:
-        per_category.setdefault(rule.category, []).append(tallies[rule.id])
-    out.append(counts_struct(per_category).alias(COUNTS))
-    return work.select(*out).withColumn(TOTAL, counts_total(COUNTS))
+    work = work.withColumn(REDACTED, marks.unprotect(_TEXT))
+    if counts:
+        per_category: dict[str, list[str]] = {}
+        for rule in rules:
+            per_category.setdefault(rule.category, []).append(tallies[rule.id])
+        work = work.withColumn(COUNTS, counts_struct(per_category))
+        work = work.withColumn(TOTAL, counts_total(COUNTS))
+    return _seal(work, df.columns, added)
 
 
 def redact_rule(
@@ -89,11 +88,21 @@ def redact_rule(
         raise ValueError(f"unknown rule: {rule_id!r}")
     _check_columns(df, [REDACTED, "n"])
     work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
-    return work.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        marks.unprotect(_TEXT).alias(REDACTED),
-        F.coalesce(F.col(tallies[rule_id]), F.lit(0).cast("long")).alias("n"),
-    )
+    number = F.coalesce(F.col(tallies[rule_id]), F.lit(0).cast("long"))
+    work = work.withColumns({REDACTED: marks.unprotect(_TEXT), "n": number})
+    return _seal(work, df.columns, [REDACTED, "n"])
+
+
+def _seal(work: DataFrame, kept: list[str], added: list[str]) -> DataFrame:
+    """Hand out the results through a generator of one row.
+
+    A filter on a result must not be moved below the chain: it would have to
+    repeat every rule, and twice as often with each of them.  The optimizer moves
+    no filter on a generated column, while filters on the other columns still
+    reach the scan.
+    """
+    results = F.struct(*[F.col(name) for name in added])
+    return work.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(results)))
 
 
 def _options(config: Options | Mapping[str, Any] | None) -> Options:

@@ -18,7 +18,8 @@ QUARANTINED = "quarantined"
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``path, length, valid_utf8, text``.
 
-    ``text`` is null where the bytes are not UTF-8.  Line breaks are kept.
+    ``text`` is null where the bytes are not UTF-8.  Line breaks are kept.  Spark
+    leaves empty files out of a scan, so they give no row.
     """
     files = spark.read.format("binaryFile").load(path)
     content = F.col("content").cast("string")
