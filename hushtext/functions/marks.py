@@ -2,8 +2,8 @@
 
 A rule first puts marks where it matches; the number of marks is the count and
 a plain replacement turns them into the token.  So the costly pattern runs once
-per rule and not twice.  Marks are Unicode noncharacters.  Should a text contain
-one all the same, ``protect`` spells it with an escape and ``unprotect`` brings
+per rule and not twice.  Marks are control characters that are no whitespace: one
+byte each, so an ASCII text stays ASCII.  Should a text contain one all the same, ``protect`` spells it with an escape and ``unprotect`` brings
 it back; to every rule the spelling is the same kind of character.
 """
 
@@ -12,16 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OPEN = "\ufdd0"
-CLOSE = "\ufdd1"
-ESCAPE = "\ufdd2"
+OPEN = "\x01"
+CLOSE = "\x02"
+ESCAPE = "\x03"
 WIDTH = len(OPEN.encode())
 
 # the escape comes first here and last on the way back
 _SPELLINGS = (
-    (ESCAPE, ESCAPE + "\ufdd3"),
-    (OPEN, ESCAPE + "\ufdd4"),
-    (CLOSE, ESCAPE + "\ufdd5"),
+    (ESCAPE, ESCAPE + "\x04"),
+    (OPEN, ESCAPE + "\x05"),
+    (CLOSE, ESCAPE + "\x06"),
 )
 
 

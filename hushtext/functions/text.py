@@ -116,7 +116,7 @@ def normalize_column(df: DataFrame, source: Column, nfkc_name: str, name: str):
 
     ``translate`` takes a text apart character by character and a pattern has to
     decode it, so both wait for a byte search to find them something to do.
-    Only non-ASCII text goes through the first two steps.
+    Only non-ASCII text goes through NFKC and the folds.
     """
     symbols = "".join(SYMBOL_FOLDS.values())
     folded = F.when(
@@ -128,8 +128,8 @@ def normalize_column(df: DataFrame, source: Column, nfkc_name: str, name: str):
     return (
         df.withColumn(nfkc_name, nfkc_or_null(source))
         .withColumn(nfkc_name, folded)
-        .withColumn(nfkc_name, marks.protect(nfkc_name))
         .withColumn(name, F.coalesce(F.col(nfkc_name), source))
+        .withColumn(name, marks.protect(name))
         .withColumn(
             name, F.when(spaced, squeeze_spaces(name)).otherwise(F.col(name))
         )

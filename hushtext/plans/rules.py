@@ -9,6 +9,7 @@ import re
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 
+from hushtext.functions.marks import protect_term
 from hushtext.plans import fixed_values as fixed
 from hushtext.plans.dictionary import alternation, dictionary_pattern
 from hushtext.plans.options import Options
@@ -83,8 +84,9 @@ def all_rules(options: Options) -> list[Rule]:
         return Guard(digits=pattern)
 
     low, high = options.mrn_min_length, options.mrn_max_length
-    facility_terms = dictionary_pattern(options.facility_terms)
-    surnames = dictionary_pattern(options.surnames)
+    # terms are spelled the way the text is while the rules run
+    facility_terms = dictionary_pattern(map(protect_term, options.facility_terms))
+    surnames = dictionary_pattern(map(protect_term, options.surnames))
     titles = [t + dot for t in fixed.SHORT_TITLES for dot in ("", ".")]
     titled = _name_after([*titles, *fixed.LONG_TITLES])
     first_last = _name_after(fixed.FIRST_NAMES)
@@ -191,7 +193,7 @@ def all_rules(options: Options) -> list[Rule]:
             "person",
             first_last,
             guard=words(*fixed.FIRST_NAMES),
-            keep_stop_terms=True,
+            keep_stop_terms=_may_be_stop_term(fixed.FIRST_NAMES),
         ),
         exact(
             "person_capitals",
@@ -228,6 +230,15 @@ def _name_after(words: Iterable[str]) -> str:
     return rf"(?=[a-z])\b{alternation(words)}{fixed.NAME_TAIL}"
 
 
+def _may_be_stop_term(first_words: Iterable[str]) -> bool:
+    """Whether a match that starts with one of the words could be a stop term.
+
+    Line breaks do not count in the comparison, so "Mr", line break, "Sa" could.
+    """
+    starts = tuple(word.upper() for word in first_words)
+    return "ST" in starts or any(t.startswith(starts) for t in fixed.STOP_TERMS)
+
+
 def _dictionary_guard(terms: tuple[str, ...]) -> Guard | None:
     """The first words of the terms, or None if they are not plain enough."""
     first_words = [re.match(r"[A-Za-z]+(?!\w)", term) for term in terms]

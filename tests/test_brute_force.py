@@ -29,7 +29,7 @@ Smith smith Martin Martinez Li Min Ng Kim Lee David Mary Rev. Prof Mrs Mr Ms. Ca
 imam Zelda Fitzgerald Bob Alice O' 'X D'Arcy' Jean-Luc iv E Coli COLI ICU sepsis St
 MRSA Sa st. 04/02/2024 4-5-99 2024-01-02 Jan April Sept 5, 2024 99 yesterday today last
 night Monday this morning week 3 days ago weeks [EMAIL] [MRN] [ ] ! ? ?! ,, é ñandú Ünal
-naïve ß Clarké éClark ١٢٣٤٥٦ 京都 Ⅷ ﬁn ª ½ ’s “q” – — • · … ́a ⁠ ‍ ﷐ ﷑ ﷒ ﷓
+naïve ß Clarké éClark ١٢٣٤٥٦ 京都 Ⅷ ﬁn ª ½ ’s “q” – — • · … ́a ⁠ ‍ \x01 \x02 \x03 \x04
 """.split()
 GAPS = [" "] * 8 + ["", "", "", "\n", "\r\n", "  ", "\t", "\n\n", " \n ", "\xa0", "\x85"]
 

@@ -102,8 +102,10 @@ CASES = [
     ("seen by MUELLER-ÖZ today", {"config": {"names": ["Mueller-öz"]}},
      "seen by [PERSON] [REL_DATE]", {"persons": 1, "relative_dates": 1}),
     # marks used inside the engine survive as text
-    ("﷐x﷑ Kim ﷒﷓﷔ a@b.co", {},
-     "﷐x﷑ [PERSON] ﷒﷓﷔ [EMAIL]", {"persons": 1, "emails": 1}),
+    ("\x01x\x02 Kim \x03\x04\x05 a@b.co", {},
+     "\x01x\x02 [PERSON] \x03\x04\x05 [EMAIL]", {"persons": 1, "emails": 1}),
+    ("a \x01b c", {"config": {"names": ["b", "a \x01b"]}}, "[PERSON] c",
+     {"persons": 1}),
     # dictionaries
     ("Zelda Fitzgerald", {"config": {"names": ["Zelda", "Zelda Fitzgerald"]}},
      "[PERSON] Fitzgerald", {"persons": 1}),

@@ -37,7 +37,7 @@ HOSTILE = {
     "names": "Li Li " * N,
     "letters": "a" * N,
     "slashes": "s/" * N,
-    "marks": "﷐﷑﷒" * N,
+    "marks": "\x01\x02\x03" * N,
 }
 
 
