@@ -37,7 +37,7 @@ def is_stop_term(match):
     return "".join(kept).upper().strip(" ") in fixed.STOP_TERMS
 
 
-def scrub(text, safe_harbor=False, skip=(), **options):
+def redacted_by_hand(text, safe_harbor=False, skip=(), **options):
     """Return the redacted text and the counts that are not zero."""
     if text is None:
         return None, {}
