@@ -19,6 +19,12 @@ from hushtext.sources.scratch import scratch_path  # noqa: E402
 from hushtext.sources.tables import read_table  # noqa: E402
 from hushtext.streaming import redact_stream  # noqa: E402
 
+try:  # the driver may have taken these away
+    import corpus_pipeline  # noqa: E402
+    from hushtext.llm import queries as llm  # noqa: E402
+except ImportError:
+    corpus_pipeline = llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # --- inputs: the same SQL for both engines ------------------------------------
@@ -405,8 +411,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in _registry().items()}
+    found = {name: run for name, (run, _) in _registry().items()}
+    if llm:
+        found |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: query for name, (_, query) in _registry().items() if query}
+    found = {name: query for name, (_, query) in _registry().items() if query}
+    if llm:
+        found |= llm.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
