@@ -7,9 +7,9 @@ one order for all sets, so two sets with an index of ``t`` or more share a tile.
 order puts shingles that many texts share last; it rests on counts of hashed slots and
 may be any order for the result to be exact.
 
-Within a tile a pair goes through two tests.  Each node has a bitmap of 512 hashed bits:
-every bit that one has and the other lacks is at least one element not shared, which
-bounds the overlap from above.  Pairs within the bound are then compared exactly, by
+Within a tile a pair goes through two tests.  Each node has a bitmap of hashed bits, four
+to eight for each element: every bit that one has and the other lacks is at least one
+element not shared, which bounds the overlap from above.  Pairs within the bound are then compared exactly, by
 intersecting their sorted arrays.
 
 What is asked for are the classes of linked documents, so not every link need be looked
@@ -35,8 +35,7 @@ from hushtext.llm.shingles import WordHashes, shingle_set
 
 _SLOT_BITS = 22
 _SLOTS = 1 << _SLOT_BITS
-_BITMAP_WORDS = 8
-_BITS = [f"bits{i}" for i in range(_BITMAP_WORDS)]
+_LEAST_BITS, _MOST_BITS = 6, 20  # widths of bitmaps as powers of two
 
 
 def near_duplicate_classes(
@@ -64,8 +63,7 @@ def near_duplicate_classes(
     filled = features.where("n > 0")
     nodes = saved(
         filled.groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"),
-            *[F.first(b).alias(b) for b in _BITS],
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
         ),
         "shingle_nodes",
     )
@@ -158,16 +156,40 @@ def _like_size(n_a: Column, n_b: Column, num: int, den: int) -> Column:
 
 def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose bitmaps leave room for the overlap that is needed."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[F.col(b).alias(f"{b}_a") for b in _BITS])
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[F.col(b).alias(f"{b}_b") for b in _BITS])
-    only_a = " + ".join(f"bit_count({w}_a & ~{w}_b)" for w in _BITS)
-    only_b = " + ".join(f"bit_count({w}_b & ~{w}_a)" for w in _BITS)
-    bound = f"least(n_a - ({only_a}), n_b - ({only_b}))"
-    return (
-        pairs.join(b, "b").join(a, "a")
-        .where(f"CAST({bound} AS LONG) * {num + den} >= CAST(n_a + n_b AS LONG) * {num}")
-        .select("a", "b")
-    )
+    a = nodes.selectExpr("node AS a", "n AS n_a", "bits AS bits_a")
+    b = nodes.selectExpr("node AS b", "n AS n_b", "bits AS bits_b")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bounds = list(map(overlap_bound, batch["n_a"], batch["n_b"], batch["bits_a"], batch["bits_b"]))
+            sizes = (batch["n_a"].astype("int64") + batch["n_b"]).to_numpy()
+            good = np.array(bounds, np.int64) * (num + den) >= sizes * num
+            yield batch.loc[good, ["a", "b"]]
+
+    joined = pairs.join(b, "b").join(a, "a")
+    return joined.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(
+        test, "a long, b long"
+    )
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    """Hashed bits of a set; widths are powers of two, so a wide one can be folded."""
+    power = min(max(int(4 * found.size - 1).bit_length(), _LEAST_BITS), _MOST_BITS)
+    bits = np.zeros(1 << power, bool)
+    bits[((found >> np.uint64(_SLOT_BITS)) & np.uint64(bits.size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def overlap_bound(n_a: int, n_b: int, bits_a: bytes, bits_b: bytes) -> int:
+    """The most elements two sets can share, by the bits only one of them has."""
+    x, y = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    while x.size > y.size:
+        x = x[: x.size // 2] | x[x.size // 2 :]
+    while y.size > x.size:
+        y = y[: y.size // 2] | y[y.size // 2 :]
+    only_a = int(np.bitwise_count(x & ~y).sum())
+    only_b = int(np.bitwise_count(y & ~x).sum())
+    return min(n_a - only_a, n_b - only_b)
 
 
 def _exact(words: int, num: int, den: int):
@@ -228,8 +250,7 @@ def _slot_levels(texts: DataFrame, words: int):
 
 
 def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataFrame:
-    schema = "doc_id long, n int, node long, prefix array<long>, "
-    schema += ", ".join(f"{b} long" for b in _BITS)
+    schema = "doc_id long, n int, node long, prefix array<long>, bits binary"
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -249,18 +270,15 @@ def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataF
                 else:
                     first = found[:head]
                 prefixes.append(first.view(np.int64))
-                bits = np.zeros(64 * _BITMAP_WORDS, bool)
-                bits[((found >> np.uint64(_SLOT_BITS)) % np.uint64(bits.size)).astype(np.int64)] = True
-                bitmaps.append(np.packbits(bits).view(np.int64))
-            words_of = np.array(bitmaps, np.int64).reshape(-1, _BITMAP_WORDS)
+                bitmaps.append(bitmap(found))
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
                     "n": np.array(sizes, np.int32),
                     "node": np.array(nodes, np.uint64).view(np.int64),
                     "prefix": prefixes,
+                    "bits": bitmaps,
                 }
-                | {b: words_of[:, i] for i, b in enumerate(_BITS)}
             )
 
     return texts.mapInPandas(describe, schema)
