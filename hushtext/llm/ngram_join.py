@@ -13,10 +13,11 @@ element not shared, which bounds the overlap from above.  Pairs within the bound
 intersecting their sorted arrays.
 
 What is asked for are the classes of linked documents, so not every link need be looked
-at.  First each node is compared with the first node of each of its tiles; that settles
-large groups of near copies in one comparison each.  Then, in tiles whose nodes are not
-yet all in one class, all pairs of different classes are compared.  No pair of like texts
-in different classes is left out, and no group is ever expanded into all its pairs.
+at.  First each node is compared with the first node of each of its tiles.  Then, in large
+tiles whose nodes are not yet all in one class, each is compared with a few others at
+random, which joins up what is left of a group of near copies.  At last all pairs of
+different classes are compared that the tile and the bitmaps leave possible.  No pair of
+like texts in different classes is left out, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hushtext.llm.common import saved
 from hushtext.llm.components import components
@@ -36,6 +38,11 @@ from hushtext.llm.shingles import WordHashes, shingle_set
 _SLOT_BITS = 22
 _SLOTS = 1 << _SLOT_BITS
 _LEAST_BITS, _MOST_BITS = 6, 20  # widths of bitmaps as powers of two
+_MARKS = [f"mark{i}" for i in range(8)]  # a bitmap of 512 bits as columns
+_SMALL_TILE = 32
+_SUB_TILE = 128
+_NEIGHBOURS = 4
+_RANDOM_ROUNDS = 2
 
 
 def near_duplicate_classes(
@@ -63,21 +70,21 @@ def near_duplicate_classes(
     filled = features.where("n > 0")
     nodes = saved(
         filled.groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
+            F.min("doc_id").alias("rep"),
+            *[F.first(c).alias(c) for c in ("n", "bits", *_MARKS)],
         ),
         "shingle_nodes",
     )
 
-    rows = filled.select("node", "n", F.explode("prefix").alias("tile"))
+    rows = filled.select("node", "n", F.posexplode("prefix").alias("pos", "tile"))
     tiles = (
         rows.groupBy("tile")
-        .agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"))
-        .where("first.node <> last")
+        .agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.max("node").alias("last"))
+        .where("head.node <> last")
     )
     shared = saved(
-        rows.join(tiles.select("tile", "first"), "tile")
-        .select("tile", "node", "n", F.col("first.node").alias("head"), F.col("first.n").alias("head_n"))
-        .distinct(),
+        rows.join(tiles.select("tile", "head"), "tile")
+        .select("tile", "node", "n", "pos", "head").distinct(),
         "shingle_tiles",
     )
     # texts of the nodes that share a tile: the documents are shuffled once
@@ -95,32 +102,63 @@ def near_duplicate_classes(
         loaded = close.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
         return loaded.mapInPandas(_exact(words, num, den), "a long, b long")
 
-    like_size = _like_size(F.col("n"), F.col("head_n"), num, den)
-    heads = shared.where((F.col("node") != F.col("head")) & like_size)
-    heads = heads.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first_links = saved(linked(heads), "shingle_links")
-
-    classes = saved(components(first_links), "shingle_classes")
-    placed = shared.join(classes, "node", "left").select(
-        "tile", "node", "n", "head", F.coalesce("root", "node").alias("root")
-    )
-    placed = saved(placed, "shingle_placed")
-    mixed = placed.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = mixed.where("r0 <> r1").select("tile")
-    # pairs with the head of the tile are done
-    open_ = placed.where("node <> head").join(mixed, "tile")
-    left = open_.select("tile", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")])
-    right = open_.select("tile", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")])
+    room = _has_room(num, den, "", "head.")
+    heads = shared.where(F.expr(f"node <> head.node AND {room}"))
+    heads = heads.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(linked(heads), "shingle_links")
+
+    def mixed(at_least: int) -> DataFrame:
+        """Rows, with their classes, of tiles that hold more than one class."""
+        roots = saved(components(links), "shingle_classes")
+        placed = saved(
+            shared.where("node <> head.node")  # pairs with the head are done
+            .join(roots, "node", "left")
+            .select("tile", "node", "n", "pos", F.coalesce("root", "node").alias("root")),
+            "shingle_placed",
+        )
+        counts = placed.groupBy("tile").agg(
+            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")
+        )
+        counts = counts.where(F.col("r0") != F.col("r1")).where(F.col("size") > at_least)
+        return placed.join(counts.select("tile", "size"), "tile")
+
+    for seed in range(_RANDOM_ROUNDS):
+        chance = F.xxhash64("node", F.lit(seed))
+        subs = F.ceil(F.col("size") / _SUB_TILE)
+        order = Window.partitionBy("tile", "sub").orderBy("chance")
+        row = F.struct("node", "n", "pos", "root")
+        met = (
+            mixed(_SMALL_TILE)
+            .withColumns({"chance": chance, "sub": F.pmod(F.shiftright(chance, 7), subs)})
+            .withColumn("others", F.array(*[F.lead(row, i + 1).over(order) for i in range(_NEIGHBOURS)]))
+            .select("node", "n", "pos", "root", F.explode("others").alias("other"))
+            .where(F.expr(f"root <> other.root AND {_has_room(num, den, '', 'other.')}"))
+            .select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
+            .distinct()
+        )
+        links = saved(links.union(linked(met)), "shingle_links")
+
+    open_ = mixed(1).join(nodes.select("node", *_MARKS), "node")
+    sides = ["node", "n", "pos", "root", *_MARKS]
+    left = open_.select("tile", *[F.col(c).alias(f"{c}_a") for c in sides])
+    right = open_.select("tile", *[F.col(c).alias(f"{c}_b") for c in sides])
+    only_a = " + ".join(f"bit_count({m}_a & ~{m}_b)" for m in _MARKS)
+    only_b = " + ".join(f"bit_count({m}_b & ~{m}_a)" for m in _MARKS)
+    bound = f"least(n_a - ({only_a}), n_b - ({only_b}))"
+    possible = f"{bound} * {num + den}L >= (n_a + n_b) * {num}L"
     pairs = (
-        left.join(right, "tile")
-        .where("node_a < node_b AND root_a <> root_b")
-        .where(_like_size(F.col("n_a"), F.col("n_b"), num, den))
+        left.join(
+            right,
+            (left["tile"] == right["tile"])
+            & F.expr("node_a < node_b AND root_a <> root_b")
+            & F.expr(_has_room(num, den, "", "", "_a", "_b"))
+            & F.expr(possible),
+        )
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
     )
-    second_links = saved(linked(pairs), "shingle_links")
-
-    roots = components(first_links.union(second_links))
+    links = saved(links.union(linked(pairs)), "shingle_links")
+    roots = components(links)
     labelled = filled.select("doc_id", "n", "node").join(roots, "node", "left")
     labelled = labelled.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     # rows that repeat an id tie their classes together
@@ -150,8 +188,15 @@ def _tie_repeated_ids(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _like_size(n_a: Column, n_b: Column, num: int, den: int) -> Column:
-    return (F.least(n_a, n_b) * den).cast("long") >= (F.greatest(n_a, n_b) * num).cast("long")
+def _has_room(num: int, den: int, a: str, b: str, end_a: str = "", end_b: str = "") -> str:
+    """Whether two nodes of a tile can be linked if it is the first that they share.
+
+    Then none of the elements before it are shared, which bounds the overlap; sets of
+    too different size fail as well.
+    """
+    n_a, n_b = f"{a}n{end_a}", f"{b}n{end_b}"
+    left = f"least({n_a} - {a}pos{end_a}, {n_b} - {b}pos{end_b})"
+    return f"{left} * {num + den}L >= ({n_a} + {n_b}) * {num}L"
 
 
 def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,9 +217,9 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     )
 
 
-def bitmap(found: np.ndarray) -> bytes:
+def bitmap(found: np.ndarray, least: int = _LEAST_BITS, most: int = _MOST_BITS) -> bytes:
     """Hashed bits of a set; widths are powers of two, so a wide one can be folded."""
-    power = min(max(int(4 * found.size - 1).bit_length(), _LEAST_BITS), _MOST_BITS)
+    power = min(max(int(4 * found.size - 1).bit_length(), least), most)
     bits = np.zeros(1 << power, bool)
     bits[((found >> np.uint64(_SLOT_BITS)) & np.uint64(bits.size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -242,21 +287,23 @@ def _slot_levels(texts: DataFrame, words: int):
     )
     total = counted.where("slot = -1").agg(F.sum("seen")).first()[0] or 0
     mean = total / _SLOTS
-    full = counted.where(F.col("slot") >= 0).where(F.col("seen") >= 8 + 4 * mean)
-    full = full.toPandas()  # at most a quarter of the slots
+    # far beyond what chance would put into a slot
+    full = counted.where("slot >= 0").where(F.col("seen") > 8 + mean + 6 * mean**0.5)
+    full = full.toPandas()  # fewer than slots, of which there is a fixed number
     levels = np.zeros(_SLOTS, np.uint8)
-    levels[full["slot"].to_numpy()] = np.log2(full["seen"].to_numpy() / (1 + mean)).astype(np.uint8)
+    levels[full["slot"].to_numpy()] = (1 + np.log2(full["seen"].to_numpy() / (1 + mean))).astype(np.uint8)
     return texts.sparkSession.sparkContext.broadcast(levels)
 
 
 def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataFrame:
-    schema = "doc_id long, n int, node long, prefix array<long>, bits binary"
+    schema = "doc_id long, n int, node long, prefix array<long>, bits binary, "
+    schema += ", ".join(f"{m} long" for m in _MARKS)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         level_of = levels.value
         for batch in batches:
-            sizes, nodes, prefixes, bitmaps = [], [], [], []
+            sizes, nodes, prefixes, bitmaps, marks = [], [], [], [], []
             for text in batch["text"]:
                 found = shingle_set(text, words, hashes)
                 size = found.size
@@ -271,6 +318,8 @@ def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataF
                     first = found[:head]
                 prefixes.append(first.view(np.int64))
                 bitmaps.append(bitmap(found))
+                marks.append(np.frombuffer(bitmap(found, 9, 9), np.int64))
+            columns = np.array(marks, np.int64).reshape(-1, len(_MARKS))
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
@@ -279,6 +328,7 @@ def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataF
                     "prefix": prefixes,
                     "bits": bitmaps,
                 }
+                | {m: columns[:, i] for i, m in enumerate(_MARKS)}
             )
 
     return texts.mapInPandas(describe, schema)
