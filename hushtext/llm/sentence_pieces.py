@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_MAX_WORDS = 600_000  # remembered per worker; memory starts anew when full
-_MAX_PAIRS = 1_000_000
+_MAX_WORDS = 250_000  # remembered per worker; memory starts anew when full
+_MAX_PAIRS = 400_000
+_CHUNK_CHARS = 500_000  # of texts whose words are learned together
 
 
 @dataclass(frozen=True)
@@ -82,16 +83,26 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null and empty texts."""
+        out: list[np.ndarray] = []
+        chunk, size = [], 0
+        for text in texts:
+            chunk.append(text)
+            size += len(text or "")
+            if size > _CHUNK_CHARS:
+                out += self._chunk(chunk)
+                chunk, size = [], 0
+        return out + self._chunk(chunk)
+
+    def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
+        new = {w for words in cut for w in words if w not in known}
+        if len(known) + len(new) > _MAX_WORDS:
+            known.clear()
+            new = {w for words in cut for w in words}
+        self._learn(sorted(new))
         out = []
         for words in cut:
-            new = {w for w in words if w not in known}
-            if new:
-                if len(known) + len(new) > _MAX_WORDS:
-                    known.clear()
-                    new = set(words)
-                self._learn(sorted(new))
             ids: list[int] = []
             for word in words:
                 ids += known[word]
