@@ -138,7 +138,7 @@ def search_chunk(query_ids, query, ids, matrix, k, skip_self) -> pd.DataFrame:
     least = np.stack([matrix[s : s + BLOCK].min(axis=0) for s in starts])
     bounds = np.maximum(query, 0) @ most.T + np.minimum(query, 0) @ least.T
     order = np.argsort(-bounds, axis=1, kind="stable")
-    lowest = -np.inf if kind != np.int64 else np.iinfo(np.int64).min
+    lowest = -np.inf if kind != np.int64 else -np.iinfo(np.int64).max
     scores = np.full((len(query), k), lowest, kind)
     found = np.full((len(query), k), np.iinfo(np.int64).max)
     every = np.arange(len(query))
