@@ -57,6 +57,9 @@ NOTES = """SELECT o_orderkey AS note_id, concat(
  CASE o_orderkey % 3 WHEN 0 THEN 'Mercy Medical Center'
  WHEN 1 THEN 'St. Mary Clinic' ELSE 'the Dialysis Center' END,
  '; Ann Bolt, garcia, St Kilda Roadhouse.{nl}',
+ 'Known ', CASE o_orderkey % 3 WHEN 0 THEN 'sepsis' WHEN 1 THEN 'sep-sis'
+ ELSE 'MRSA' END, ', seen last night and ', CASE o_orderkey % 3
+ WHEN 0 THEN 'this morning' WHEN 1 THEN 'yesterday' ELSE 'Mar 3, 2021' END, '.{nl}',
  'At ', CAST(o_orderkey % 90 AS STRING), '.',
  lpad(CAST(o_custkey % 1000 AS STRING),3,'0'), ' N, ',
  CAST(o_orderkey % 180 AS STRING), '.25 W.{nl}',
@@ -298,8 +301,12 @@ _LOOSE = "replace(replace(text, '. ', '.\t  '), 'e', ' \x0be')"
 def _registry() -> dict[str, tuple[Callable, str | None]]:
     found = {rule_id: _rule(rule_id) for rule_id in ht.RULE_IDS}
     found |= {
+        # full-width A, circled 1, ohm sign and the ligature fi stand for vowels
         "norm_nfkc": _text_function(
-            DOCUMENTS, "text", hf.nfkc, lambda e: f"nfc_normalize({e})"
+            DOCUMENTS,
+            "translate(text, 'aeou', 'Ａ①Ωﬁ')",
+            hf.nfkc,
+            lambda e: f"replace(translate({e}, 'Ａ①Ω', 'A1Ω'), 'ﬁ', 'fi')",
         ),
         "norm_apostrophe": _text_function(
             PAGES,
@@ -379,7 +386,10 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
         "opt_extra_names": _redact(
             NOTES,
             ["note_id"],
-            names=["Elmwood", "  Ann ", "Ann Bolt", "roadhouse", "", "sepsis"],
+            names=[
+                "Elmwood", "  Ann ", "Ann Bolt", "roadhouse", "", "sepsis", "sep-sis",
+                "mrsa",
+            ],
         ),
         "opt_extra_keywords": _redact(
             NOTES, ["note_id"], keywords=["Mercy Medical", "Kilda Roadhouse"]

@@ -102,7 +102,8 @@ def _seal(work: DataFrame, kept: list[str], added: list[str]) -> DataFrame:
     reach the scan.
     """
     results = F.struct(*[F.col(name) for name in added])
-    return work.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(results)))
+    names = ["`" + c.replace("`", "``") + "`" for c in kept]
+    return work.select(*[F.col(c) for c in names], F.inline(F.array(results)))
 
 
 def _options(config: Options | Mapping[str, Any] | None) -> Options:

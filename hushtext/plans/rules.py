@@ -61,9 +61,6 @@ class Rule:
         return fixed.TOKENS[self.category]
 
 
-# dictionaries beyond this many terms get no guard
-_MAX_GUARD_TERMS = 2_000
-
 
 def all_rules(options: Options) -> list[Rule]:
     """Every rule, in order of application."""
@@ -242,7 +239,7 @@ def _may_be_stop_term(first_words: Iterable[str]) -> bool:
 def _dictionary_guard(terms: tuple[str, ...]) -> Guard | None:
     """The first words of the terms, or None if they are not plain enough."""
     first_words = [re.match(r"[A-Za-z]+(?!\w)", term) for term in terms]
-    if len(terms) > _MAX_GUARD_TERMS or not all(first_words):
+    if not all(first_words):
         return None
     words = {m[0].lower() for m in first_words}
     # a term could also be found inside a token put in by an earlier rule

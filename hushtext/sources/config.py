@@ -7,12 +7,8 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from hushtext.plans.dictionary import MAX_DICTIONARY_CHARS
 from hushtext.plans.options import FIELDS, Options
 
-# room for two word lists of the largest size, four bytes a character, and JSON
-MAX_CONFIG_BYTES = 12 * MAX_DICTIONARY_CHARS
-
 
 def load_options(spark: SparkSession, path: str | None = None) -> Options:
     """Read options from one JSON object; without a path, the defaults.
@@ -24,11 +20,8 @@ def load_options(spark: SparkSession, path: str | None = None) -> Options:
     if path is None:
         return Options()
     file = spark.read.format("binaryFile").load(path)
-    sizes = [row.length for row in file.select("length").take(2)]
-    if len(sizes) != 1:
+    if len(file.select("length").take(2)) != 1:
         raise ValueError(f"{path} is not a single file")
-    if sizes[0] > MAX_CONFIG_BYTES:
-        raise ValueError(f"{path} has {sizes[0]} bytes, the limit is {MAX_CONFIG_BYTES}")
     raw = bytes(file.select(F.col("content")).first().content)
     return parse_options(raw.decode("utf-8"))
 

@@ -19,9 +19,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``path, length, valid_utf8, text``.
 
     ``text`` is null where the bytes are not UTF-8.  Line breaks are kept.  Spark
-    leaves empty files out of a scan, so they give no row.
+    leaves empty files out of a scan; they are added from the listing of the folder,
+    with an empty text.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    empty = [(name, 0, b"") for name in _empty_files(spark, path)]
+    if empty:
+        schema = "path string, length long, content binary"
+        files = files.unionByName(spark.createDataFrame(empty, schema))
     content = F.col("content").cast("string")
     return (
         files.select("path", "length", content.alias("text"))
@@ -35,6 +40,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without a byte that ``path``, a file, folder or glob, names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for entry in store.globStatus(hadoop) or []:
+        for file in store.listStatus(entry.getPath()) if entry.isDirectory() else [entry]:
+            hidden = file.getPath().getName().startswith(("_", "."))
+            if file.isFile() and file.getLen() == 0 and not hidden:
+                found.append(file.getPath().toString())
+    return found
+
+
 def redact_files(
     spark: SparkSession,
     path: str,

@@ -35,9 +35,13 @@ def write_redacted(
     fmt: str = "parquet",
     mode: str = "overwrite",
     partition_by: tuple[str, ...] = (),
+    text_col: str = "text",
+    keep_text: bool = False,
 ) -> None:
     """Write a redacted table; what was there before is replaced.
 
-    Only columns of ``df`` are written, so drop the original text beforehand.
+    The original text, column ``text_col``, is left out unless ``keep_text`` is set.
     """
+    if not keep_text:
+        df = df.drop(text_col)
     df.write.mode(mode).partitionBy(*partition_by).format(fmt).save(path)

@@ -26,6 +26,7 @@ def redact_stream(
     available_now: bool = False,
     every: str | None = None,
     observe: str | None = None,
+    keep_text: bool = False,
 ) -> StreamingQuery:
     """Redact a streaming DataFrame into files and return the running query.
 
@@ -33,10 +34,13 @@ def redact_stream(
     ``checkpoint`` must lie on storage all executors share; together with the
     file sink it makes every row come out exactly once, also after a restart.
     ``observe`` names totals to report in the progress of each micro-batch.
+    The original text is not written unless ``keep_text`` is set.
     """
     rows = redact(
         stream, text_col, safe_harbor=safe_harbor, skip=skip, config=config
     )
+    if not keep_text:
+        rows = rows.drop(text_col)
     if observe:
         rows = observe_redactions(rows, observe)
     writer = (

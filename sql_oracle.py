@@ -28,6 +28,8 @@ NATIVE = {
 }
 SPACES = "".join(rf"\x{{{ord(ch):X}}}" for ch in WHITE_SPACE)
 ODD_SPACES = "".join(rf"\x{{{ord(ch):X}}}" for ch in WHITE_SPACE if ch not in "\r\n")
+# fixed values: this pattern and those of ``patterns`` must match the same texts as the
+# rules they check, so they are stated as they are
 _ID_TAIL = r"[A-Z0-9]{3,}(?:[-\s][A-Z0-9]{2,}){0,3}\b"
 
 

@@ -8,6 +8,7 @@ from hushtext.plans import fixed_values as fixed
 
 SH = {"safe_harbor": True}
 
+# fixed values: inputs and results that must come out just so
 # input, options, redacted text, counts (None: not part of the case)
 CASES = [
     ("Reach me at jane.doe@example.com or (555) 867-5309.", {},

@@ -55,6 +55,8 @@ def test_files_are_whole_documents_and_bad_ones_are_kept_apart(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_bytes("Mail a@b.co\r\nline 2 é\n".encode())
     (tmp_path / "in/b.txt").write_bytes(b"\xff\xfe a@b.co")
+    (tmp_path / "in/c.txt").write_bytes(b"")
+    (tmp_path / "in/_SUCCESS").write_bytes(b"")
     out = str(tmp_path / "out")
     ht.redact_files(spark, str(tmp_path / "in"), out)
     rows = {r.path.rsplit("/")[-1]: r for r in spark.read.parquet(out).collect()}
@@ -62,13 +64,31 @@ def test_files_are_whole_documents_and_bad_ones_are_kept_apart(spark, tmp_path):
     assert rows["a.txt"].outcome == "redacted"
     assert rows["b.txt"].outcome == "quarantined" and rows["b.txt"].redacted is None
     assert rows["b.txt"].redactions_total == 0
+    assert len(rows) == 3
+    assert (rows["c.txt"].redacted, rows["c.txt"].redactions_total) == ("", 0)
+    assert rows["c.txt"].outcome == "redacted"
 
 
 def test_tables_are_replaced(spark, tmp_path):
     for text in ("a@b.co", "nothing"):
         df = spark.createDataFrame([(text,)], "text string")
         ht.write_redacted(ht.redact(df), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).first().redacted == "nothing"
+    written = spark.read.parquet(str(tmp_path / "t"))
+    assert written.first().redacted == "nothing" and "text" not in written.columns
+
+
+def test_a_stream_leaves_out_the_text(spark, tmp_path):
+    spark.createDataFrame([("a@b.co", 1)], "text string, k int").write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("text string, k int").parquet(str(tmp_path / "s"))
+    args = str(tmp_path / "o"), str(tmp_path / "c")
+    ht.redact_stream(stream, *args, available_now=True).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "o"))
+    assert written.first().redacted == "[EMAIL]" and "text" not in written.columns
+
+
+def test_backticks_in_column_names(spark):
+    df = spark.createDataFrame([("a@b.co", 1)], ["text", "odd`name"])
+    assert ht.redact(df).first()["odd`name"] == 1
 
 
 def test_small_tables_are_dealt_out_and_large_ones_left_alone(spark, tmp_path):
