@@ -41,7 +41,7 @@ _LEAST_BITS, _MOST_BITS = 6, 20  # widths of bitmaps as powers of two
 _MARKS = [f"mark{i}" for i in range(8)]  # a bitmap of 512 bits as columns
 _SMALL_TILE = 32
 _SUB_TILE = 128
-_NEIGHBOURS = 4
+_NEIGHBOURS = 8
 _RANDOM_ROUNDS = 2
 
 
@@ -131,8 +131,10 @@ def near_duplicate_classes(
             mixed(_SMALL_TILE)
             .withColumns({"chance": chance, "sub": F.pmod(F.shiftright(chance, 7), subs)})
             .withColumn("others", F.array(*[F.lead(row, i + 1).over(order) for i in range(_NEIGHBOURS)]))
-            .select("node", "n", "pos", "root", F.explode("others").alias("other"))
-            .where(F.expr(f"root <> other.root AND {_has_room(num, den, '', 'other.')}"))
+            .withColumn("others", F.expr(
+                f"filter(others, x -> root <> x.root AND {_has_room(num, den, '', 'x.')})"
+            ))
+            .select("node", F.explode("others").alias("other"))
             .select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
             .distinct()
         )
