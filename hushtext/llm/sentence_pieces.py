@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_MAX_WORDS = 250_000  # remembered per worker; memory starts anew when full
+_MAX_WORDS = 200_000  # remembered since the memory was last aged; twice that in all
 _MAX_PAIRS = 400_000
-_CHUNK_CHARS = 500_000  # of texts whose words are learned together
+_CHUNK_CHARS = 2_000_000  # of texts whose words are learned together
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,9 @@ def load_model(path: str = MODEL_PATH) -> PieceModel:
 class Encoder:
     model: PieceModel
     words: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)  # by left piece
+    known_pairs: int = 0
 
     def __post_init__(self):
         # endings of pieces: a suffix that ends no piece has no longer one that does
@@ -79,6 +82,10 @@ class Encoder:
         self.least = min(self.model.scores.values(), default=0.0) - 10
         # a line break that is in no piece ends a word, so words repeat more often
         lone = "" if any("\n" in p for p in self.model.ids) else "\n"
+        # bytes of each id, the mark as a space; byte pieces as they are
+        self.raw = [name.replace(MARK, " ").encode() for name in self.model.names]
+        for byte, number in self.model.bytes_.items():
+            self.raw[number] = bytes([byte])
         self.cut = re.compile(rf"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -95,30 +102,30 @@ class Encoder:
 
     def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
-        new = {w for words in cut for w in words if w not in known}
-        if len(known) + len(new) > _MAX_WORDS:
-            known.clear()
-            new = {w for words in cut for w in words}
-        self._learn(sorted(new))
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for word in words:
-                ids += known[word]
-            out.append(np.array(ids, np.int32))
-        return out
+        if len(self.words) > _MAX_WORDS:
+            # words not met since the last time are forgotten, rare ones that is
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        new = set(chain.from_iterable(cut)).difference(known)
+        for word in older.keys() & new:
+            known[word] = older[word]
+        self._learn(sorted(new.difference(older)))
+        of_word = known.__getitem__
+        return [
+            np.fromiter(chain.from_iterable(map(of_word, words)), np.int32) for words in cut
+        ]
 
     def _learn(self, words: list[str]) -> None:
         """Encode sorted words, reusing the states of shared beginnings."""
-        scores, endings, pairs = self.model.scores, self.endings, self.pairs
+        scores, endings = self.model.scores, self.endings
         merges, least = self.model.merges, self.least
         last: list[str] = [""]  # the piece that ends each prefix
         best: list[float] = [0.0]  # its score, for unigram models
+        rights: list[dict[str, bool]] = [self._rights("")]  # what it is known to stand before
         before = ""
         for word in words:
             shared = len(os.path.commonprefix((before, word)))
-            del last[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], best[shared + 1 :], rights[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 start = end - 1
                 piece = word[start:end]
@@ -126,10 +133,9 @@ class Encoder:
                 while True:
                     if start == end - 1 or piece in scores:
                         if merges:
-                            key = last[start], piece
-                            fits = pairs.get(key)
+                            fits = rights[start].get(piece)
                             if fits is None:
-                                fits = self._pair(*key)
+                                fits = rights[start][piece] = self._pair(last[start], piece)
                             if fits:
                                 winner = piece
                                 break
@@ -145,6 +151,8 @@ class Encoder:
                         break
                 last.append(winner)
                 best.append(top)
+                if merges:
+                    rights.append(self._rights(winner))
             pieces, at = [], len(word)
             while at:
                 pieces.append(last[at])
@@ -155,13 +163,20 @@ class Encoder:
             self.words[word] = tuple(ids)
             before = word
 
+    def _rights(self, left: str) -> dict[str, bool]:
+        found = self.pairs.get(left)
+        if found is None:
+            found = self.pairs[left] = {}
+        return found
+
     def _pair(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when merged from scratch."""
-        if len(self.pairs) >= _MAX_PAIRS:
-            self.pairs.clear()
-        wanted = [left, right] if left else [right]
-        found = self.pairs[left, right] = self.merged(left + right) == wanted
-        return found
+        self.known_pairs += 1
+        if self.known_pairs > _MAX_PAIRS:
+            self.known_pairs = 0
+            for known in self.pairs.values():
+                known.clear()
+        return self.merged(left + right) == ([left, right] if left else [right])
 
     def merged(self, word: str) -> list[str]:
         """Merges from scratch: the best scored neighbours first, then the leftmost."""
@@ -188,11 +203,7 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
-        of_byte = {v: k for k, v in self.model.bytes_.items()}
-        raw = bytearray()
-        for i in ids:
-            raw += bytes([of_byte[i]]) if i in of_byte else self.model.names[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
