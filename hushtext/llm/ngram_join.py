@@ -16,7 +16,8 @@ What is asked for are the classes of linked documents, so not every link need be
 at.  First each node is compared with the first node of each of its tiles.  Then, in large
 tiles whose nodes are not yet all in one class, each is compared with a few others at
 random, which joins up what is left of a group of near copies.  At last all pairs of
-different classes are compared that the tile and the bitmaps leave possible.  No pair of
+different classes are compared that the tile and the bitmaps leave possible, each in one
+of the first tiles that it shares.  No pair of
 like texts in different classes is left out, and no group is expanded into all its pairs.
 """
 
@@ -43,6 +44,7 @@ _SMALL_TILE = 32
 _SUB_TILE = 128
 _NEIGHBOURS = 8
 _RANDOM_ROUNDS = 2
+_BEFORE = 8  # tiles of a node looked back at
 
 
 def near_duplicate_classes(
@@ -107,9 +109,8 @@ def near_duplicate_classes(
     heads = heads.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
     links = saved(linked(heads), "shingle_links")
 
-    def mixed(at_least: int) -> DataFrame:
+    def mixed(roots: DataFrame, at_least: int) -> DataFrame:
         """Rows, with their classes, of tiles that hold more than one class."""
-        roots = saved(components(links), "shingle_classes")
         placed = saved(
             shared.where("node <> head.node")  # pairs with the head are done
             .join(roots, "node", "left")
@@ -123,12 +124,13 @@ def near_duplicate_classes(
         return placed.join(counts.select("tile", "size"), "tile")
 
     for seed in range(_RANDOM_ROUNDS):
+        roots = saved(components(links), "shingle_classes")
         chance = F.xxhash64("node", F.lit(seed))
         subs = F.ceil(F.col("size") / _SUB_TILE)
         order = Window.partitionBy("tile", "sub").orderBy("chance")
         row = F.struct("node", "n", "pos", "root")
         met = (
-            mixed(_SMALL_TILE)
+            mixed(roots, _SMALL_TILE)
             .withColumns({"chance": chance, "sub": F.pmod(F.shiftright(chance, 7), subs)})
             .withColumn("others", F.array(*[F.lead(row, i + 1).over(order) for i in range(_NEIGHBOURS)]))
             .withColumn("others", F.expr(
@@ -138,10 +140,15 @@ def near_duplicate_classes(
             .select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b"))
             .distinct()
         )
-        links = saved(links.union(linked(met)), "shingle_links")
-
-    open_ = mixed(1).join(nodes.select("node", *_MARKS), "node")
-    sides = ["node", "n", "pos", "root", *_MARKS]
+        links = saved(_stars(roots).union(linked(met)), "shingle_links")
+
+    roots = saved(components(links), "shingle_classes")
+    # a pair that shares one of the tiles just before this one has been met there: it is
+    # open as well, or one of the two is its head, and there is more room
+    last = Window.partitionBy("node").orderBy("pos").rowsBetween(-_BEFORE, -1)
+    open_ = mixed(roots, 1).withColumn("before", F.collect_list("tile").over(last))
+    open_ = open_.join(nodes.select("node", *_MARKS), "node")
+    sides = ["node", "n", "pos", "root", "before", *_MARKS]
     left = open_.select("tile", *[F.col(c).alias(f"{c}_a") for c in sides])
     right = open_.select("tile", *[F.col(c).alias(f"{c}_b") for c in sides])
     only_a = " + ".join(f"bit_count({m}_a & ~{m}_b)" for m in _MARKS)
@@ -154,12 +161,13 @@ def near_duplicate_classes(
             (left["tile"] == right["tile"])
             & F.expr("node_a < node_b AND root_a <> root_b")
             & F.expr(_has_room(num, den, "", "", "_a", "_b"))
-            & F.expr(possible),
+            & F.expr(possible)
+            & F.expr("NOT arrays_overlap(before_a, before_b)"),
         )
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         .distinct()
     )
-    links = saved(links.union(linked(pairs)), "shingle_links")
+    links = saved(_stars(roots).union(linked(pairs)), "shingle_links")
     roots = components(links)
     labelled = filled.select("doc_id", "n", "node").join(roots, "node", "left")
     labelled = labelled.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
@@ -176,6 +184,11 @@ def near_duplicate_classes(
     )
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """Classes as edges to their least node: they stand for all links found so far."""
+    return roots.where("node <> root").selectExpr("root AS a", "node AS b")
+
+
 def _tie_repeated_ids(labelled: DataFrame) -> DataFrame:
     twice = labelled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("root").alias("a"), F.max("root").alias("b")
