@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_MAX_WORDS = 200_000  # remembered since the memory was last aged; twice that in all
+_MAX_WORDS = 125_000  # remembered since the memory was last aged; twice that in all
 _MAX_PAIRS = 400_000
-_CHUNK_CHARS = 2_000_000  # of texts whose words are learned together
+_CHUNK_CHARS = 500_000  # of texts whose words are learned together
 
 
 @dataclass(frozen=True)
