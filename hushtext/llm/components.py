@@ -12,38 +12,37 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (long columns ``a``, ``b``).
 
     ``root`` is the smallest node reachable.  Alternates the large-star and small-star
-    steps (Kiveris et al., 2014): every round is two joins on the edges, with partial
-    minima, and no task needs a whole component.  Each round is written to the shared
-    folder.
+    steps (Kiveris et al., 2014) until every component is one star.  A step is one join
+    of the edges with partial minima, and no task needs a whole component.  Each step is
+    written to the shared folder.
     """
     now = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    seen = None
-    while True:
-        now = saved(_small_star(_large_star(now)), "edges")
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if state == seen or state[0] == 0:
-            break
-        seen = state
+    while not _is_stars(now):
+        now = saved(_small_star(saved(_large_star(now), "edges")), "edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         roots.distinct()
     )
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node is either a centre or has one edge, to a centre below it."""
+    nodes = edges.select(F.expr("stack(2, a, 1, 0, b, 0, 1) AS (node, up, down)"))
+    seen = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    upward = edges.where("a < b").select("a").limit(1)
+    return seen.where("up + down > 1").isEmpty() and upward.isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("b", "a")).toDF("u", "v")
+    both = edges.select(F.expr("stack(2, a, b, b, a) AS (u, v)"))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return (
-        both.where("v > u").join(least, "u")
-        .select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    )
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    """Of edges whose ``a`` is the larger node."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return (
-        joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .union(joined.select("a", "m")).distinct()
+        edges.join(least, "a").select(F.expr("stack(2, a, m, b, m) AS (a, b)"))
+        .where("a <> b").distinct()
     )
