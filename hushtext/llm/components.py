@@ -9,28 +9,26 @@ from hushtext.llm.common import saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` for every node of ``edges`` (long columns ``a``, ``b``).
+    """``node``, ``root`` for the nodes of ``edges`` (long columns ``a``, ``b``) but roots.
 
-    ``root`` is the smallest node reachable.  Alternates the large-star and small-star
-    steps (Kiveris et al., 2014) until every component is one star.  A step is one join
-    of the edges with partial minima, and no task needs a whole component.  Each step is
-    written to the shared folder.
+    ``root`` is the smallest node reachable; it has no row of its own.  Alternates the
+    large-star and small-star steps (Kiveris et al., 2014) until every component is one
+    star.  A step is one join of the edges with partial minima, and no task needs a whole
+    component.  Each step is written to the shared folder.
     """
-    now = saved(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    now = edges.where("a <> b").select("a", "b")
     while not _is_stars(now):
         now = saved(_small_star(saved(_large_star(now), "edges")), "edges")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        roots.distinct()
-    )
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _is_stars(edges: DataFrame) -> bool:
-    """Whether each node is either a centre or has one edge, to a centre below it."""
-    nodes = edges.select(F.expr("stack(2, a, 1, 0, b, 0, 1) AS (node, up, down)"))
-    seen = nodes.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    upward = edges.where("a < b").select("a").limit(1)
-    return seen.where("up + down > 1").isEmpty() and upward.isEmpty()
+    """Whether each edge goes down to a centre and each node has one edge or is a centre."""
+    nodes = edges.select(F.expr("stack(2, a, 1, 0, a < b, b, 0, 1, a < b) AS (node, up, down, wrong)"))
+    seen = nodes.groupBy("node").agg(
+        F.sum("up").alias("up"), F.max("down").alias("down"), F.max("wrong").alias("wrong")
+    )
+    return seen.where("up + down > 1 OR wrong").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

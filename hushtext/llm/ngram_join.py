@@ -43,7 +43,7 @@ _MARKS = [f"mark{i}" for i in range(8)]  # a bitmap of 512 bits as columns
 _SMALL_TILE = 32
 _SUB_TILE = 128
 _NEIGHBOURS = 8
-_RANDOM_ROUNDS = 2
+_RANDOM_ROUNDS = 1
 _BEFORE = 8  # tiles of a node looked back at
 
 
@@ -124,7 +124,7 @@ def near_duplicate_classes(
         return placed.join(counts.select("tile", "size"), "tile")
 
     for seed in range(_RANDOM_ROUNDS):
-        roots = saved(components(links), "shingle_classes")
+        roots = components(links)
         chance = F.xxhash64("node", F.lit(seed))
         subs = F.ceil(F.col("size") / _SUB_TILE)
         order = Window.partitionBy("tile", "sub").orderBy("chance")
@@ -142,7 +142,7 @@ def near_duplicate_classes(
         )
         links = saved(_stars(roots).union(linked(met)), "shingle_links")
 
-    roots = saved(components(links), "shingle_classes")
+    roots = components(links)
     # a pair that shares one of the tiles just before this one has been met there: it is
     # open as well, or one of the two is its head, and there is more room
     last = Window.partitionBy("node").orderBy("pos").rowsBetween(-_BEFORE, -1)
@@ -185,8 +185,8 @@ def near_duplicate_classes(
 
 
 def _stars(roots: DataFrame) -> DataFrame:
-    """Classes as edges to their least node: they stand for all links found so far."""
-    return roots.where("node <> root").selectExpr("root AS a", "node AS b")
+    """Classes as edges to their least node; they stand for all links found so far."""
+    return roots.selectExpr("node AS a", "root AS b")
 
 
 def _tie_repeated_ids(labelled: DataFrame) -> DataFrame:
