@@ -9,10 +9,18 @@ from hushtext.llm.common import saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root`` for the nodes of ``edges`` (long columns ``a``, ``b``) but roots.
+    """``node``, ``root`` for every node of ``edges`` (long columns ``a``, ``b``).
 
-    ``root`` is the smallest node reachable; it has no row of its own.  Alternates the
-    large-star and small-star steps (Kiveris et al., 2014) until every component is one
+    ``root`` is the smallest node reachable.
+    """
+    found = members(edges)
+    return found.union(found.select("root", "root").distinct())
+
+
+def members(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` for the nodes of ``edges`` that are not roots themselves.
+
+    Alternates the large-star and small-star steps (Kiveris et al., 2014) until every component is one
     star.  A step is one join of the edges with partial minima, and no task needs a whole
     component.  Each step is written to the shared folder.
     """

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hushtext.llm.common import saved
-from hushtext.llm.components import components
+from hushtext.llm.components import members
 from hushtext.llm.shingles import WordHashes, shingle_set
 
 _SLOT_BITS = 22
@@ -124,7 +124,7 @@ def near_duplicate_classes(
         return placed.join(counts.select("tile", "size"), "tile")
 
     for seed in range(_RANDOM_ROUNDS):
-        roots = components(links)
+        roots = members(links)
         chance = F.xxhash64("node", F.lit(seed))
         subs = F.ceil(F.col("size") / _SUB_TILE)
         order = Window.partitionBy("tile", "sub").orderBy("chance")
@@ -142,7 +142,7 @@ def near_duplicate_classes(
         )
         links = saved(_stars(roots).union(linked(met)), "shingle_links")
 
-    roots = components(links)
+    roots = members(links)
     # a pair that shares one of the tiles just before this one has been met there: it is
     # open as well, or one of the two is its head, and there is more room
     last = Window.partitionBy("node").orderBy("pos").rowsBetween(-_BEFORE, -1)
@@ -168,7 +168,7 @@ def near_duplicate_classes(
         .distinct()
     )
     links = saved(_stars(roots).union(linked(pairs)), "shingle_links")
-    roots = components(links)
+    roots = members(links)
     labelled = filled.select("doc_id", "n", "node").join(roots, "node", "left")
     labelled = labelled.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     # rows that repeat an id tie their classes together
@@ -197,7 +197,7 @@ def _tie_repeated_ids(labelled: DataFrame) -> DataFrame:
         return labelled
     # ids with three or more classes: every class with the least one
     edges = labelled.join(twice, "doc_id").select("a", F.col("root").alias("b"))
-    roots = components(edges).withColumnRenamed("root", "tied")
+    roots = members(edges).withColumnRenamed("root", "tied")
     return labelled.join(roots, labelled["root"] == roots["node"], "left").select(
         "doc_id", "n", F.coalesce("tied", "root").alias("root")
     )

@@ -68,6 +68,26 @@ def load_model(path: str = MODEL_PATH) -> PieceModel:
     return PieceModel(ids, scores, bytes_, unknown, merges, names)
 
 
+def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Marked words, cut finer where no piece reaches over, so that words repeat more.
+
+    A line break that is in no piece stands alone, digits do if no piece joins them to
+    anything, and letters part from other characters if no piece holds both kinds.
+    """
+    bare = [p.lstrip(MARK) for p in pieces]
+    pairs = {x + y for p in bare for x, y in zip(p, p[1:], strict=False)}
+    alone = "" if any("\n" in p for p in bare) else r"\n"
+    digits = not any(re.search(r"\d", pair) for pair in pairs)
+    # other numerals than digits, such as a raised 2, are no letters
+    numerals = "".join(sorted({c for p in bare for c in p if c.isnumeric() and not c.isalpha()}))
+    letter, other = rf"[^\W\d_{numerals}]", rf"[\W\d_{numerals}]"
+    kinds = not any(re.search(f"{letter}{other}|{other}{letter}", pair) for pair in pairs)
+    rest = f"{MARK}{alone}" + r"\d" * digits
+    runs = f"{letter}+|(?:(?![{rest}]){other})+" if kinds else f"[^{rest}]+"
+    lone = r"\d|" * digits
+    return re.compile(rf"{MARK}*(?:{lone}{runs})|{MARK}+" + f"|{alone}" * bool(alone))
+
+
 @dataclass
 class Encoder:
     model: PieceModel
@@ -80,13 +100,11 @@ class Encoder:
         # endings of pieces: a suffix that ends no piece has no longer one that does
         self.endings = {p[i:] for p in self.model.ids for i in range(len(p))}
         self.least = min(self.model.scores.values(), default=0.0) - 10
-        # a line break that is in no piece ends a word, so words repeat more often
-        lone = "" if any("\n" in p for p in self.model.ids) else "\n"
         # bytes of each id, the mark as a space; byte pieces as they are
         self.raw = [name.replace(MARK, " ").encode() for name in self.model.names]
         for byte, number in self.model.bytes_.items():
             self.raw[number] = bytes([byte])
-        self.cut = re.compile(rf"{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" + (f"|{lone}" if lone else ""))
+        self.cut = _word_pattern(self.model.ids)
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null and empty texts."""
