@@ -80,7 +80,8 @@ def test_stream_and_batch_agree(spark, documents, tmp_path):
         observe="redactions",
     )
     query.awaitTermination()
-    batch = ht.redact(documents, safe_harbor=True)
+    # the raw text is not written
+    batch = ht.redact(documents, safe_harbor=True).drop("text")
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert streamed.count() == batch.count() == 200
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
