@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from hushtext.sources.scratch import scratch_path
@@ -20,3 +25,24 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Consecutive parts of about ``size`` bytes of texts or lists, one row at least.
+
+    An empty column gives one empty part.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        yield column
+        return
+    if pa.types.is_list(column.type):
+        sizes = pc.multiply(pc.list_value_length(column), 4)
+    else:
+        sizes = pc.binary_length(column)
+    before = np.cumsum(pc.fill_null(sizes, 0).to_numpy(), dtype=np.int64)
+    group = np.concatenate(([0], before[:-1])) // size
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    for start, end in zip(starts, starts[1:], strict=False):
+        yield column.slice(start, end - start)

@@ -16,19 +16,21 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from hushtext.llm.common import slices
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_MAX_WORDS = 200_000  # remembered since the memory was last aged; twice that in all
-_MAX_PAIRS = 400_000
-_CHUNK_CHARS = 2_000_000  # of texts whose words are learned together
+_MAX_WORDS = 120_000  # remembered since the memory was last aged; twice that in all
+_MAX_PAIRS = 250_000
+_CHUNK_BYTES = 1_500_000  # of texts whose words are learned together
 
 
 @dataclass(frozen=True)
@@ -91,8 +93,8 @@ def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
 @dataclass
 class Encoder:
     model: PieceModel
-    words: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    older: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    words: dict[str, bytes] = field(default_factory=dict)  # ids, four bytes each
+    older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict)  # by left piece
     known_pairs: int = 0
 
@@ -107,18 +109,10 @@ class Encoder:
         self.cut = _word_pattern(self.model.ids)
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """Ids of each text; none for null and empty texts."""
-        out: list[np.ndarray] = []
-        chunk, size = [], 0
-        for text in texts:
-            chunk.append(text)
-            size += len(text or "")
-            if size > _CHUNK_CHARS:
-                out += self._chunk(chunk)
-                chunk, size = [], 0
-        return out + self._chunk(chunk)
-
-    def _chunk(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; none for null and empty texts.
+
+        The distinct words of all ``texts`` are learned together.
+        """
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > _MAX_WORDS:
             # words not met since the last time are forgotten, rare ones that is
@@ -129,9 +123,7 @@ class Encoder:
             known[word] = older[word]
         self._learn(sorted(new.difference(older)))
         of_word = known.__getitem__
-        return [
-            np.fromiter(chain.from_iterable(map(of_word, words)), np.int32) for words in cut
-        ]
+        return [np.frombuffer(b"".join(map(of_word, words)), np.int32) for words in cut]
 
     def _learn(self, words: list[str]) -> None:
         """Encode sorted words, reusing the states of shared beginnings."""
@@ -178,7 +170,7 @@ class Encoder:
             ids: list[int] = []
             for piece in reversed(pieces):
                 ids += self._ids(piece)
-            self.words[word] = tuple(ids)
+            self.words[word] = np.array(ids, np.int32).tobytes()
             before = word
 
     def _rights(self, left: str) -> dict[str, bool]:
@@ -235,12 +227,22 @@ def piece_encoder(spark, model: PieceModel):
     """
     sent = spark.sparkContext.broadcast(tuple(vars(model).values()))
 
-    @F.pandas_udf("ids array<int>, n_pieces int, restored boolean")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("ids array<int>, n_pieces int, restored boolean")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(sent)
-        ids = encoder.encode(texts)
-        same = [_decoded(encoder, i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-        return pd.DataFrame({"ids": ids, "n_pieces": [len(i) for i in ids], "restored": same})
+        for batch in batches:
+            # a few texts at a time, so that memory follows them and not the batch
+            for part in slices(batch, _CHUNK_BYTES):
+                texts = part.to_pylist()
+                ids = encoder.encode(texts)
+                same = [_decoded(encoder, i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                sizes = np.array([i.size for i in ids], np.int32)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(ids))
+                yield pa.StructArray.from_arrays(
+                    [lists, pa.array(sizes), pa.array(same, pa.bool_())],
+                    ["ids", "n_pieces", "restored"],
+                )
 
     return encode
 
@@ -249,10 +251,13 @@ def piece_decoder(spark, model: PieceModel):
     """Column function from an array of ids to the text; null stays null."""
     sent = spark.sparkContext.broadcast(tuple(vars(model).values()))
 
-    @F.pandas_udf("string")
-    def decode(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(sent)
-        return pd.Series([None if i is None else encoder.decode(i) for i in column], dtype=object)
+        for batch in batches:
+            for part in slices(batch, _CHUNK_BYTES):
+                texts = (None if i is None else encoder.decode(i) for i in part.to_pylist())
+                yield pa.array(texts, pa.string())
 
     return decode
 
