@@ -90,6 +90,23 @@ def _word_pattern(pieces: Iterable[str]) -> re.Pattern:
     return re.compile(rf"{MARK}*(?:{lone}{runs})|{MARK}+" + f"|{alone}" * bool(alone))
 
 
+class _PackedIds(dict):
+    """Ids of a piece, four bytes each; a single character that is no piece is spelled."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        super().__init__((p, _packed([number])) for p, number in model.ids.items())
+
+    def __missing__(self, piece: str) -> bytes:
+        if self.model.bytes_:
+            return _packed([self.model.bytes_[b] for b in piece.encode("utf-8", "replace")])
+        return _packed([self.model.unknown])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 @dataclass
 class Encoder:
     model: PieceModel
@@ -106,6 +123,7 @@ class Encoder:
         self.raw = [name.replace(MARK, " ").encode() for name in self.model.names]
         for byte, number in self.model.bytes_.items():
             self.raw[number] = bytes([byte])
+        self.packed = _PackedIds(self.model)
         self.cut = _word_pattern(self.model.ids)
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -128,7 +146,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Encode sorted words, reusing the states of shared beginnings."""
         scores, endings = self.model.scores, self.endings
-        merges, least = self.model.merges, self.least
+        merges, least, packed = self.model.merges, self.least, self.packed
         last: list[str] = [""]  # the piece that ends each prefix
         best: list[float] = [0.0]  # its score, for unigram models
         rights: list[dict[str, bool]] = [self._rights("")]  # what it is known to stand before
@@ -167,10 +185,8 @@ class Encoder:
             while at:
                 pieces.append(last[at])
                 at -= len(pieces[-1])
-            ids: list[int] = []
-            for piece in reversed(pieces):
-                ids += self._ids(piece)
-            self.words[word] = np.array(ids, np.int32).tobytes()
+            pieces.reverse()
+            self.words[word] = b"".join(map(packed.__getitem__, pieces))
             before = word
 
     def _rights(self, left: str) -> dict[str, bool]:
@@ -203,14 +219,6 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _ids(self, piece: str) -> Iterable[int]:
-        number = self.model.ids.get(piece)
-        if number is not None:
-            return (number,)
-        if self.model.bytes_:
-            return [self.model.bytes_[b] for b in piece.encode("utf-8", "replace")]
-        return (self.model.unknown,)
-
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
