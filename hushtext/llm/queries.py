@@ -13,8 +13,11 @@ from hushtext.llm.exact_topk import quantised, top_k
 from hushtext.llm.imatch import fingerprint_documents
 from hushtext.llm.language_id import train_languages
 from hushtext.llm.ngram_join import near_duplicate_classes
+from hushtext.llm.periodic_runs import run_finder
 from hushtext.llm.personal_data import span_report, train_spans
+from hushtext.llm.ranked_search import rank_documents
 from hushtext.llm.sentence_pieces import load_model, piece_encoder
+from hushtext.llm.simhash_join import simhash_classes
 from hushtext.llm.source_mix import MixTarget, mix_sources
 from hushtext.llm.toxicity import train_toxicity
 from hushtext.llm.url_filter import canonical_url, filter_urls
@@ -111,6 +114,56 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", report("text").alias("found")).select("doc_id", "found.*")
 
 
+def op11_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by fingerprints that differ in two bits at most."""
+    found = simhash_classes(table(spark, sf_dir, "documents"))
+    hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def looped(doc_id: Column, text: Column) -> Column:
+    """The text, or for one id in ten its words with a part of them repeated to the end."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    hashed = F.crc32(doc_id.cast("string"))
+    g = F.floor(hashed / 10)
+    start = (g % F.nullif(n, F.lit(0))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - start) / period).cast("int")
+    loop = F.flatten(F.array_repeat(F.slice(words, start + 1, period), times))
+    edited = F.concat(F.slice(words, F.lit(1), start), F.slice(loop, F.lit(1), n - start))
+    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(edited, " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every text, some of them edited, and the text without them."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", looped(F.col("doc_id"), F.col("text")).alias("text")
+    )
+    found = docs.select("doc_id", run_finder()("text").alias("found")).select("doc_id", "found.*")
+    # runs come by start, then period; only a greater exponent replaces an earlier one
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), "
+        "(b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period "
+        "THEN r ELSE b END)"
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every item of the benchmark."""
+    docs = table(spark, sf_dir, "documents")
+    return rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 _OP8_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://')
@@ -151,7 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join, op2_source_mix, op3_exact_topk, op4_language_id,
         op5_sentence_pieces, op6_imatch, op7_chat_format, op8_url_filter, op9_toxicity,
-        op10_personal_data,
+        op10_personal_data, op11_simhash_classes, op12_periodic_runs, op13_ranked_search,
     )
 }
 
@@ -170,4 +223,40 @@ WITH whole AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
-ORACLE_SQL = {"op3_exact_topk": _OP3_SQL, "op8_url_filter": _OP8_SQL}
+_OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), items AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS terms FROM docs WHERE len(terms) > 0
+), counted AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln(
+    CAST(2 * (SELECT docs FROM whole) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+    // (1000 * tf + 12 * (100 - 25 + (25 * n * whole.docs) // whole.terms)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term), whole
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+ORACLE_SQL = {
+    "op3_exact_topk": _OP3_SQL,
+    "op8_url_filter": _OP8_SQL,
+    "op13_ranked_search": _OP13_SQL,
+}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for table in ("pages", "embeddings", "documents"):
+    for table in ("pages", "embeddings", "documents", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     rows = QUERIES[name](spark, SF)
     expected = con.sql(ORACLE_SQL[name])
@@ -24,7 +24,7 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_every_query_is_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
