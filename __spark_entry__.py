@@ -130,6 +130,20 @@ def _redact(source: str, keys: list[str], safe_harbor=False, skip=(), **config):
     return run, _redact_sql(source, keys, safe_harbor, skip, config)
 
 
+def _names_table():
+    """Documents without names from a table: the passages of the benchmark, whole."""
+
+    def run(spark, sf_dir):
+        passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+        # also where they are few, the terms stay on the cluster
+        options = ht.Options(names=passages, literal_chars=0)
+        texts = _input(spark, sf_dir, DOCUMENTS)
+        return _flat(ht.redact(texts, skip=_FEW, config=options))
+
+    names = sql.names_of("text", "benchmark")
+    return run, _redact_sql(DOCUMENTS, _DOC, skip=_FEW, config={"names": names})
+
+
 def _redact_sql(source, keys, safe_harbor=False, skip=(), config=None):
     options = {
         {"mrn_min_length": "low", "mrn_max_length": "high"}.get(name, name): value
@@ -183,9 +197,7 @@ def _dictionary():
 
     def run(spark, sf_dir):
         sources = read_table(spark, f"{sf_dir}/documents.parquet").select("source")
-        terms = ht.build_dictionary(fixed.FACILITY_TERMS, sources)
-        rows = [(i, t) for i, t in enumerate(terms, start=1)]
-        return spark.createDataFrame(rows, "ord long, term string")
+        return ht.build_dictionary(fixed.FACILITY_TERMS, sources)
 
     values = ", ".join(f"({sql.text(t)})" for t in fixed.FACILITY_TERMS)
     query = (
@@ -295,6 +307,7 @@ def _streamed(keys: list[str]):
 _DOC = ["doc_id", "lang", "source"]
 _CONV = ["conv_id", "turn", "role"]
 _EVERY = list(fixed.TOKENS)
+_FEW = ("phone", "date", "mrn", "address", "facility", "zip")
 _LOOSE = "replace(replace(text, '. ', '.\t  '), 'e', ' \x0be')"
 
 
@@ -391,6 +404,7 @@ def _registry() -> dict[str, tuple[Callable, str | None]]:
                 "mrsa",
             ],
         ),
+        "opt_extra_names_table": _names_table(),
         "opt_extra_keywords": _redact(
             NOTES, ["note_id"], keywords=["Mercy Medical", "Kilda Roadhouse"]
         ),

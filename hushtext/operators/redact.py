@@ -17,6 +17,7 @@ from hushtext.functions.text import (
     normalize_column,
     tidy_column,
 )
+from hushtext.operators.lookup import with_patterns
 from hushtext.operators.report import counts_struct, counts_total
 from hushtext.plans.fixed_values import STOP_TERMS
 from hushtext.plans.options import Options
@@ -53,7 +54,7 @@ def redact(
     """Add ``redacted``, ``redaction_counts`` and ``redactions_total``.
 
     Works on batch and streaming DataFrames alike: there is no shuffle and no
-    state.  All input columns are kept; a null text gives a null ``redacted``
+    state.  Only a dictionary too long for a pattern is joined, in batches.  All input columns are kept; a null text gives a null ``redacted``
     and zero counts.  ``counts=False`` adds ``redacted`` only.
     """
     rules = active_rules(_options(config), safe_harbor=safe_harbor, skip=skip)
@@ -132,7 +133,16 @@ def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]
     for rule in rules:
         name = tallies[rule.id] = _PREFIX + "n_" + rule.id
         mark = f"{marks.OPEN}$0{marks.CLOSE}" if rule.keep_stop_terms else marks.OPEN
-        found = F.regexp_replace(_TEXT, rule.pattern, mark)
+        pattern = F.lit(rule.pattern)
+        if rule.terms is not None:
+            if pending:
+                df, pending = df.withColumns(pending), {}
+            patterns = f"{name}_pattern"
+            df = with_patterns(df, _TEXT, rule.terms, rule.pattern, patterns)
+            pattern = F.col(patterns)
+        found = F.regexp_replace(_TEXT, pattern, F.lit(mark))
+        if rule.terms is not None:
+            found = F.coalesce(found, F.col(_TEXT))
         if rule.id in flags:
             flag = flags[rule.id]
             if rule.guard.stems or rule.guard.words:

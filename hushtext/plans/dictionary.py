@@ -1,7 +1,8 @@
-"""Word lists turned into one literal pattern each.
+"""Word lists: as one literal pattern each, or as tables.
 
-A dictionary lives on the driver and travels inside the plan as a pattern
-literal, so its size is checked before anything is built from it.
+A short dictionary lives on the driver and travels inside the plan as a pattern literal.
+A long one stays a table on the cluster, see ``hushtext.operators.lookup``; its size is
+measured there and decides.  The result is the same.
 """
 
 from __future__ import annotations
@@ -10,59 +11,63 @@ import unicodedata
 from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushtext.operators.numbering import numbered
+from hushtext.sources.scratch import written
+
 # Unicode White_Space, as a strip set (str.strip() would also take U+001C-001F)
 WHITE_SPACE = (
     "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Upper bound for the text of one dictionary.  The pattern is compiled once in
-# every task, so a list that grows with the data must not end up in here.
-MAX_DICTIONARY_CHARS = 2_000_000
-
-
-class DictionaryTooLarge(ValueError):
-    """The word list is too large to be shipped inside a plan."""
-
-
-def _check_size(chars: int) -> None:
-    if chars > MAX_DICTIONARY_CHARS:
-        raise DictionaryTooLarge(
-            f"dictionary has {chars} characters, the limit is "
-            f"{MAX_DICTIONARY_CHARS}"
-        )
+# Characters of a dictionary that still goes into a pattern literal, which is compiled
+# once in every task.  A longer one stays on the cluster.
+LITERAL_CHARS = 200_000
 
 
 def build_dictionary(
     defaults: Iterable[str], extra: Iterable[str] | DataFrame = ()
-) -> list[str]:
-    """Return the defaults and the extra terms, distinct and in code point order.
+) -> list[str] | DataFrame:
+    """The defaults and the extra terms, distinct and in code point order.
 
-    Extra terms are trimmed and blank ones dropped.  They may come as a list or
-    as a one-column DataFrame; a DataFrame is trimmed, de-duplicated and
-    measured on the cluster, and only a list within the limit is collected.
+    Extra terms are trimmed and blank ones dropped.  With a list the result is a list.
+    With a one-column DataFrame it is one with the columns ``ord`` (from 1) and ``term``;
+    it may have any size, as no step gathers all terms.
     """
     if isinstance(extra, DataFrame):
-        extra = _collect_terms(extra)
+        return numbered(term_table(defaults, extra), "term")
     terms = set(defaults)
     terms.update(t.strip(WHITE_SPACE) for t in extra)
     terms.discard("")
-    _check_size(sum(map(len, terms)))
     return sorted(terms)
 
 
-def _collect_terms(df: DataFrame) -> list[str]:
-    if len(df.columns) != 1:
+def term_table(defaults: Iterable[str], extra: DataFrame) -> DataFrame:
+    """The distinct terms, column ``term``, in no order."""
+    if len(extra.columns) != 1:
         raise ValueError("a dictionary DataFrame must have exactly one column")
-    trimmed = F.regexp_replace(
-        F.col(df.columns[0]).cast("string"), r"(?U)\A\s++|(?<!\s)\s++\z", ""
-    )
-    terms = df.select(trimmed.alias("term")).where("term <> ''").distinct()
-    _check_size(terms.agg(F.sum(F.length("term"))).first()[0] or 0)
-    return [row.term for row in terms.collect()]
+    trimmed = F.btrim(F.col(extra.columns[0]).cast("string"), F.lit(WHITE_SPACE))
+    own = extra.sparkSession.createDataFrame([(t,) for t in defaults], "term string")
+    return extra.select(trimmed.alias("term")).union(own).where("term <> ''").distinct()
+
+
+def literal_or_table(
+    defaults: Iterable[str], extra: Iterable[str] | DataFrame, literal_chars: int
+) -> tuple[str, ...] | DataFrame:
+    """The sorted terms if they have ``literal_chars`` characters at most, or their table."""
+    if isinstance(extra, DataFrame):
+        table = written(term_table(defaults, extra), "terms")
+        if (table.agg(F.sum(F.length("term"))).first()[0] or 0) > literal_chars:
+            return table
+        return tuple(sorted(row.term for row in table.collect()))
+    terms = build_dictionary(defaults, extra)
+    if sum(map(len, terms)) <= literal_chars:
+        return tuple(terms)
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return spark.createDataFrame([(t,) for t in terms], "term string")
 
 
 def dictionary_pattern(terms: Iterable[str]) -> str | None:
@@ -163,6 +168,23 @@ def _atom(ch: str) -> str:
     return f"[{variants}]" if len(variants) > 1 else ch
 
 
+def atoms() -> dict[int, str]:
+    """Code points to their pattern, where it is not the character itself."""
+    found = {code: _atom(chr(code)) for code in (*range(0x80), ord("’"))}
+    for variants in _case_variants().values():
+        if len(variants) > 1:
+            found |= {ord(ch): f"[{variants}]" for ch in variants}
+    return found
+
+
+def case_folds() -> tuple[str, str]:
+    """Characters and what they fold to, so that what atoms match alike folds alike."""
+    pairs = [(ch.upper(), ch) for ch in "abcdefghijklmnopqrstuvwxyz"] + [("’", "'")]
+    for folded, variants in _case_variants().items():
+        pairs += [(ch, folded) for ch in variants if ch != folded]
+    return "".join(ch for ch, _ in pairs), "".join(folded for _, folded in pairs)
+
+
 def _fold(ch: str) -> str:
     for folded in (ch.casefold(), ch.lower()):
         if len(folded) == 1:

@@ -9,21 +9,27 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from hushtext.plans import fixed_values as fixed
-from hushtext.plans.dictionary import build_dictionary
+from hushtext.plans.dictionary import LITERAL_CHARS, literal_or_table
 
 FIELDS = ("names", "keywords", "mrn_min_length", "mrn_max_length")
 
 
 @dataclass(frozen=True)
 class Options:
-    """Validated options.  ``names`` and ``keywords`` may also be DataFrames."""
+    """Validated options.
+
+    ``names`` and ``keywords`` may have any size and may also be one-column DataFrames.
+    Up to ``literal_chars`` characters, defaults included, a dictionary becomes a pattern
+    literal; beyond that it stays a table and is joined with the texts.
+    """
 
     names: Iterable[str] | DataFrame = ()
     keywords: Iterable[str] | DataFrame = ()
     mrn_min_length: int | None = None
     mrn_max_length: int | None = None
-    surnames: tuple[str, ...] = field(init=False, repr=False)
-    facility_terms: tuple[str, ...] = field(init=False, repr=False)
+    literal_chars: int = LITERAL_CHARS
+    surnames: tuple[str, ...] | DataFrame = field(init=False, repr=False)
+    facility_terms: tuple[str, ...] | DataFrame = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         low = self.mrn_min_length
@@ -35,12 +41,11 @@ class Options:
         set_ = object.__setattr__
         set_(self, "mrn_min_length", low)
         set_(self, "mrn_max_length", high)
-        set_(self, "surnames", tuple(build_dictionary(fixed.SURNAMES, self.names)))
-        set_(
-            self,
-            "facility_terms",
-            tuple(build_dictionary(fixed.FACILITY_TERMS, self.keywords)),
-        )
+        for name, defaults, extra in (
+            ("surnames", fixed.SURNAMES, self.names),
+            ("facility_terms", fixed.FACILITY_TERMS, self.keywords),
+        ):
+            set_(self, name, literal_or_table(defaults, extra, self.literal_chars))
 
     @classmethod
     def from_mapping(cls, values: Mapping[str, Any]) -> Options:

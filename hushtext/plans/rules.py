@@ -9,6 +9,8 @@ import re
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 from hushtext.functions.marks import protect_term
 from hushtext.plans import fixed_values as fixed
 from hushtext.plans.dictionary import alternation, dictionary_pattern
@@ -55,6 +57,8 @@ class Rule:
     keep_stop_terms: bool = False
     # a match may end inside a word
     cuts_words: bool = False
+    # a table of terms to look up; the pattern is then what stands before them
+    terms: DataFrame | None = None
 
     @property
     def token(self) -> str:
@@ -81,9 +85,13 @@ def all_rules(options: Options) -> list[Rule]:
         return Guard(digits=pattern)
 
     low, high = options.mrn_min_length, options.mrn_max_length
-    # terms are spelled the way the text is while the rules run
-    facility_terms = dictionary_pattern(map(protect_term, options.facility_terms))
-    surnames = dictionary_pattern(map(protect_term, options.surnames))
+    def dictionary(id_, category, terms, **kw):
+        if isinstance(terms, DataFrame):
+            return any_case(id_, category, "", terms=terms, **kw)
+        # terms are spelled the way the text is while the rules run
+        body = dictionary_pattern(map(protect_term, terms))
+        return any_case(id_, category, body, guard=_dictionary_guard(terms), **kw)
+
     titles = [t + dot for t in fixed.SHORT_TITLES for dot in ("", ".")]
     titled = _name_after([*titles, *fixed.LONG_TITLES])
     first_last = _name_after(fixed.FIRST_NAMES)
@@ -123,12 +131,7 @@ def all_rules(options: Options) -> list[Rule]:
                 words=("saint", "mount", "memorial", "general", "county"),
             ),
         ),
-        any_case(
-            "facility_dict",
-            "facility",
-            facility_terms,
-            guard=_dictionary_guard(options.facility_terms),
-        ),
+        dictionary("facility_dict", "facility", options.facility_terms),
         any_case(
             "address", "address", fixed.ADDRESS, guard=digits(r"\d"), cuts_words=True
         ),
@@ -171,12 +174,8 @@ def all_rules(options: Options) -> list[Rule]:
             ),
         ),
         exact("ip", "ip", fixed.IP, guard=digits(r"\d \d{1,3} \d{1,3} \d")),
-        any_case(
-            "person_dict",
-            "person",
-            surnames,
-            guard=_dictionary_guard(options.surnames),
-            keep_stop_terms=True,
+        dictionary(
+            "person_dict", "person", options.surnames, keep_stop_terms=True
         ),
         any_case(
             "person_titled",

@@ -4,14 +4,14 @@ DuckDB matches with RE2: its ``\\b`` and ``\\w`` know ASCII only.  So that word
 boundaries come out right next to accented letters, a text is first spelled with
 ASCII word characters around every run of them (``na_1_i_1_ve``; a real underscore
 becomes ``_0_``), all rules run on that, and the spelling is undone at the end.
-The patterns here are the straightforward ones, written apart from those the
-package uses, so that they check the rewritten forms as well.
+The patterns here state what has to match, in the plainest form; the package uses forms
+rewritten for linear time, which they check.
 """
 
 from __future__ import annotations
 
 from hushtext.plans import fixed_values as fixed
-from hushtext.plans.dictionary import WHITE_SPACE, build_dictionary
+from hushtext.plans.dictionary import WHITE_SPACE
 
 OPEN, CLOSE = "﷐", "﷑"
 LATIN = r"\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
@@ -33,8 +33,14 @@ ODD_SPACES = "".join(rf"\x{{{ord(ch):X}}}" for ch in WHITE_SPACE if ch not in "\
 _ID_TAIL = r"[A-Z0-9]{3,}(?:[-\s][A-Z0-9]{2,}){0,3}\b"
 
 
+class Sql(str):
+    """SQL for a string, where a literal could stand as well."""
+
+
 def text(value: str) -> str:
     """A SQL string literal."""
+    if isinstance(value, Sql):
+        return value
     return "'" + value.replace("'", "''") + "'"
 
 
@@ -43,6 +49,23 @@ def _words(terms) -> str:
     return "|".join(t.translate(escape).replace("'", "[’']") for t in terms)
 
 
+def _listed(defaults, extra) -> str:
+    terms = {t.strip(WHITE_SPACE) for t in extra} - {""}
+    return _words(sorted(terms.union(defaults)))
+
+
+def names_of(column: str, table: str) -> Sql:
+    """Pattern of the surnames and the terms in a column of a table, as a subquery."""
+    values = ", ".join(f"({text(t)})" for t in fixed.SURNAMES)
+    escaped = swap("term", r"([\\.+*?()|\[\]{}^$#&~-])", r"\\\1")
+    listed = swap(spell(escaped), "'", "[’']")
+    return Sql(
+        "(SELECT '(?i)\\b(?:' || string_agg(" + listed + ", '|' ORDER BY term) || ')\\b' FROM ("
+        f"SELECT {trim(column)} AS term FROM {table} UNION SELECT col0 FROM (VALUES {values})"
+        ") WHERE term <> '')"
+    )
+
+
 def patterns(
     names=(),
     keywords=(),
@@ -59,8 +82,10 @@ def patterns(
         [rf"{t}\.?" for t in fixed.SHORT_TITLES] + list(fixed.LONG_TITLES)
     )
     rest = rf"\s+[A-Z]{name_dash}(?:\s+[A-Z]{name_dash})?"
-    facilities = _words(build_dictionary(fixed.FACILITY_TERMS, keywords))
-    surnames = _words(build_dictionary(fixed.SURNAMES, names))
+    facilities = _listed(fixed.FACILITY_TERMS, keywords)
+    surnames = names
+    if not isinstance(names, Sql):
+        surnames = rf"(?i)\b(?:{_listed(fixed.SURNAMES, names)})\b"
     return {
         "email": rf"(?i)\b[{word}.+%-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b",
         "email_obfuscated": rf"(?i)\b[{word}.+-]+(?:\s+at\s+|\s*@\s*)[{word}.-]+"
@@ -99,7 +124,7 @@ def patterns(
         r"|S/N)\s*(?:ID|No\.?|Number|#)?\s*[:#-]?\s*"
         r"[A-Z0-9]{3,}(?:[-/][A-Z0-9]{2,}){0,3}\b",
         "ip": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-        "person_dict": rf"(?i)\b(?:{surnames})\b",
+        "person_dict": surnames,
         "person_titled": rf"(?i)\b(?:{titles}){rest}",
         "person_first_last": rf"(?i)\b(?:{_words(fixed.FIRST_NAMES)}){rest}",
         "person_capitals": rf"\b[A-Z]{name}\s+[A-Z]{name}(?:\s+[A-Z]{name})?\b",
