@@ -24,7 +24,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``saved`` that nothing will read again."""
+    for found in tables:
+        spark = found.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(found.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(column: pa.Array, size: int) -> Iterator[pa.Array]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm.common import saved
+from hushtext.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def members(edges: DataFrame) -> DataFrame:
     star.  A step is one join of the edges with partial minima, and no task needs a whole
     component.  Each step is written to the shared folder.
     """
-    now = edges.where("a <> b").select("a", "b")
+    now, before = edges.where("a <> b").select("a", "b"), []
     while not _is_stars(now):
-        now = saved(_small_star(saved(_large_star(now), "edges")), "edges")
+        half = saved(_large_star(now), "edges")
+        now = saved(_small_star(half), "edges")
+        discard(half, *before)
+        before = [now]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

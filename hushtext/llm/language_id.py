@@ -13,6 +13,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DICTIONARY_BYTES = 64 * 1024
 ROWS_PER_LANGUAGE = 200
@@ -72,27 +73,37 @@ def train_languages(
     rows: int = ROWS_PER_LANGUAGE,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> LanguageModel:
-    """A dictionary per value of ``lang`` from about ``rows`` of its documents.
+    """A dictionary per value of ``lang`` from at most ``rows`` of its documents.
 
-    Rows are taken by a hash of the id, in that order, until the dictionary is full.
-    Null languages, null texts and texts without content are left out.
+    Rows are taken in the order of a hash of id and text, long ones last, until the
+    dictionary is full.  Rows that are alike in both count as one, null ids are told apart
+    by their texts.  Null languages, null texts and texts without content are left out.
+    What comes to the driver are less than twice ``dictionary_bytes`` for a language, in
+    characters.
     """
     usable = docs.select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
-        F.xxhash64(F.col(doc_id), F.lit(4)).alias("hash"),
+        F.xxhash64(F.lit(4), F.col(doc_id), F.col(text)).alias("hash"),
     ).where("lang IS NOT NULL AND length(text) > 0")
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
-    taken = F.lit(False)
-    for name, count in counts.items():
-        share = F.lit(min(1.0, rows / count) * float(1 << 30))
-        taken = taken | ((F.col("lang") == name) & (F.expr(f"hash & {(1 << 30) - 1}") < share))
-    picked = usable.where(taken).select("lang", "hash", "text")
-    found: dict[str, list[bytes]] = {name: [] for name in counts}
+    # some four times as many as are needed, of rows of any number
+    shares = usable.groupBy("lang").agg(
+        F.least(F.lit(1.0), 4.0 * rows / F.approx_count_distinct("hash")).alias("share")
+    )
+    place = F.expr(f"(hash & {(1 << 30) - 1}) / {float(1 << 30)}D")
+    some = usable.join(shares, "lang").where(place < F.col("share"))
+    each = some.groupBy("lang", "hash").agg(
+        F.first(F.substring("text", 1, dictionary_bytes)).alias("text")
+    )
     # texts that would fill much of a dictionary alone come last
-    order = lambda r: (r.lang, len(r.text) > dictionary_bytes // 16, r.hash, r.text)
-    for row in sorted(picked.collect(), key=order):
-        found[row.lang].append(row.text.encode("utf-8", "replace"))
-    # zstandard looks at the end of a dictionary first
-    return LanguageModel(
-        {name: b"\n".join(texts)[:dictionary_bytes] for name, texts in found.items() if texts}
+    order = ["lang", F.length("text") > dictionary_bytes // 16, "hash"]
+    first = Window.partitionBy("lang").orderBy(*order[1:])
+    before = F.sum(F.length("text") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1))
+    picked = each.select("*", F.row_number().over(first).alias("place"), before.alias("before"))
+    picked = picked.where(
+        (F.col("place") <= rows) & (F.coalesce("before", F.lit(0)) < dictionary_bytes)
     )
+    found: dict[str, list[bytes]] = {}
+    for row in picked.orderBy("lang", "place").select("lang", "text").collect():
+        found.setdefault(row.lang, []).append(row.text.encode("utf-8", "replace"))
+    # zstandard looks at the end of a dictionary first
+    return LanguageModel({name: b"\n".join(t)[:dictionary_bytes] for name, t in found.items()})

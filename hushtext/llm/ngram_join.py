@@ -1,8 +1,9 @@
 """Similarity join of texts by the Jaccard index of their word shingles.
 
-Equal sets are one node.  Nodes meet in tiles: a tile holds the nodes that have a
-certain shingle in their prefix, and within a tile only nodes of a like size are
-compared.  The prefix of a set of ``n`` is its first ``n - ceil(t * n) + 1`` elements in
+Equal sets are one node.  Nodes meet in tiles: a tile holds the nodes of a band of sizes
+that have a certain shingle in their prefix, and within a tile only nodes of a like size
+are compared.  A band goes up to four times its least size; a node that could be linked
+with a larger one in the next band is in that band as well.  The prefix of a set of ``n`` is its first ``n - ceil(t * n) + 1`` elements in
 one order for all sets, so two sets with an index of ``t`` or more share a tile.  The
 order puts shingles that many texts share last; it rests on counts of hashed slots and
 may be any order for the result to be exact.
@@ -28,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushtext.llm.common import saved
+from hushtext.llm.common import discard, saved
 from hushtext.llm.components import members
 from hushtext.llm.shingles import WordHashes, shingle_set
 
@@ -60,40 +61,77 @@ def near_duplicate_classes(
     shingles of ``words`` words and ``at_least = (num, den)``.  ``component_id`` is the
     smallest id reachable by links.  Null and empty texts, and texts of white space, have
     no shingle and are linked with nothing.  Rows that repeat an id are one document
-    that is linked by any of its texts.  A null id gets the id of its class, null if it
-    has none.  Other columns play no part.  An empty table gives an empty one.
+    that is linked by any of its texts.  Rows of null id are told apart by their place; each
+    gets the id of its class, null if it has none.  Other columns play no part.  An empty
+    table gives an empty one.
 
     Sets are told apart by a 64-bit hash of their content and by their size.
     """
+    rows = numbered_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    classes = row_classes(rows, words, at_least)
+    found = rows.select("row", "doc_id").join(classes, "row")
+    filled = found.where("n_shingles > 0").select("doc_id", "n_shingles", "root")
+    # rows that repeat an id tie their classes together
+    labelled = _tie_repeated_ids(saved(filled, "shingle_labels"))
+    least = saved(
+        labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "shingle_least"
+    )
+    empty = found.where("n_shingles = 0")
+    return (
+        labelled.join(least, "root")
+        .select("doc_id", "n_shingles", "component_id")
+        .union(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    )
+
+
+def numbered_rows(docs: DataFrame, row: str = "row") -> DataFrame:
+    """``docs`` with a number of its own for each row, written once so that it stays."""
+    return saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered_rows")
+
+
+def row_classes(
+    rows: DataFrame,
+    words: int = 5,
+    at_least: tuple[int, int] = (4, 5),
+    row: str = "row",
+    text: str = "text",
+) -> DataFrame:
+    """``row``, ``n_shingles`` and ``root``, a number that the rows of a class share.
+
+    ``rows`` comes from ``numbered_rows``: whatever ids the rows have, each is told apart
+    and its text is found again by its number.  Rows without a shingle have the root 0.
+    """
     num, den = at_least
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
     levels = _slot_levels(texts, words)
     features = saved(_features(texts, words, num, den, levels), "shingle_features")
     filled = features.where("n > 0")
     nodes = saved(
         filled.groupBy("node").agg(
-            F.min("doc_id").alias("rep"),
+            F.min("row").alias("rep"),
             *[F.first(c).alias(c) for c in ("n", "bits", *_MARKS)],
         ),
         "shingle_nodes",
     )
 
-    rows = filled.select("node", "n", F.posexplode("prefix").alias("pos", "tile"))
+    in_tiles = filled.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    in_tiles = in_tiles.select(
+        "node", "n", "pos", F.explode(_bands(num, den)).alias("band"), "shingle"
+    ).select("node", "n", "pos", F.xxhash64("shingle", "band").alias("tile"))
     tiles = (
-        rows.groupBy("tile")
+        in_tiles.groupBy("tile")
         .agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.max("node").alias("last"))
         .where("head.node <> last")
     )
     shared = saved(
-        rows.join(tiles.select("tile", "head"), "tile")
+        in_tiles.join(tiles.select("tile", "head"), "tile")
         .select("tile", "node", "n", "pos", "head").distinct(),
         "shingle_tiles",
     )
     # texts of the nodes that share a tile: the documents are shuffled once
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    wanted = wanted.where("rep IS NOT NULL")
     own = saved(
-        texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("node", "text"),
+        texts.withColumnRenamed("row", "rep").join(wanted, "rep").select("node", "text"),
         "shingle_texts",
     )
 
@@ -108,6 +146,7 @@ def near_duplicate_classes(
     heads = shared.where(F.expr(f"node <> head.node AND {room}"))
     heads = heads.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
     links = saved(linked(heads), "shingle_links")
+    done = [links]
 
     def mixed(roots: DataFrame, at_least: int) -> DataFrame:
         """Rows, with their classes, of tiles that hold more than one class."""
@@ -117,6 +156,7 @@ def near_duplicate_classes(
             .select("tile", "node", "n", "pos", F.coalesce("root", "node").alias("root")),
             "shingle_placed",
         )
+        done.append(placed)
         counts = placed.groupBy("tile").agg(
             F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")
         )
@@ -141,11 +181,12 @@ def near_duplicate_classes(
             .distinct()
         )
         links = saved(_stars(roots).union(linked(met)), "shingle_links")
+        done.append(links)
 
     roots = members(links)
     # a pair that shares one of the tiles just before this one has been met there: it is
     # open as well, or one of the two is its head, and there is more room
-    last = Window.partitionBy("node").orderBy("pos").rowsBetween(-_BEFORE, -1)
+    last = Window.partitionBy("node").orderBy("pos", "tile").rowsBetween(-_BEFORE, -1)
     open_ = mixed(roots, 1).withColumn("before", F.collect_list("tile").over(last))
     open_ = open_.join(nodes.select("node", *_MARKS), "node")
     sides = ["node", "n", "pos", "root", "before", *_MARKS]
@@ -168,20 +209,24 @@ def near_duplicate_classes(
         .distinct()
     )
     links = saved(_stars(roots).union(linked(pairs)), "shingle_links")
-    roots = members(links)
-    labelled = filled.select("doc_id", "n", "node").join(roots, "node", "left")
-    labelled = labelled.select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    # rows that repeat an id tie their classes together
-    labelled = _tie_repeated_ids(saved(labelled, "shingle_labels"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    roots = saved(members(links), "shingle_roots")
     count = F.col("n").cast("long").alias("n_shingles")
-    return (
-        labelled.join(least, "root")
-        .select("doc_id", count, "component_id")
-        .union(
-            features.where("n = 0").select("doc_id", count, F.col("doc_id").alias("component_id"))
-        )
-    )
+    found = filled.join(roots, "node", "left").select(
+        "row", count, F.coalesce("root", "node").alias("root")
+    )
+    empty = features.where("n = 0").select("row", count, F.lit(0).cast("long").alias("root"))
+    classes = saved(found.union(empty), "shingle_classes")
+    discard(features, nodes, shared, own, links, roots, *done)
+    return classes
+
+
+def _bands(num: int, den: int) -> Column:
+    """The bands of a size ``n``: its own, and the next if a link could go there."""
+    band = "cast(floor(log2(n) / 2) as int)"
+    return F.expr(
+        f"CASE WHEN n * {den}L >= shiftleft(1L, 2 * {band} + 2) * {num}L "
+        f"THEN array({band}, {band} + 1) ELSE array({band}) END"
+    )
 
 
 def _stars(roots: DataFrame) -> DataFrame:
@@ -199,7 +244,7 @@ def _tie_repeated_ids(labelled: DataFrame) -> DataFrame:
     edges = labelled.join(twice, "doc_id").select("a", F.col("root").alias("b"))
     roots = members(edges).withColumnRenamed("root", "tied")
     return labelled.join(roots, labelled["root"] == roots["node"], "left").select(
-        "doc_id", "n", F.coalesce("tied", "root").alias("root")
+        "doc_id", "n_shingles", F.coalesce("tied", "root").alias("root")
     )
 
 
@@ -311,7 +356,7 @@ def _slot_levels(texts: DataFrame, words: int):
 
 
 def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataFrame:
-    schema = "doc_id long, n int, node long, prefix array<long>, bits binary, "
+    schema = "row long, n int, node long, prefix array<long>, bits binary, "
     schema += ", ".join(f"{m} long" for m in _MARKS)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,7 +382,7 @@ def _features(texts: DataFrame, words: int, num: int, den: int, levels) -> DataF
             columns = np.array(marks, np.int64).reshape(-1, len(_MARKS))
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"],
+                    "row": batch["row"],
                     "n": np.array(sizes, np.int32),
                     "node": np.array(nodes, np.uint64).view(np.int64),
                     "prefix": prefixes,
