@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushtext.llm.common import saved, table
-from hushtext.llm.ngram_join import near_duplicate_classes
+from hushtext.llm.ngram_join import numbered_rows, row_classes
 from hushtext.llm.personal_data import masker, train_spans
 from hushtext.llm.sentence_pieces import load_model, piece_encoder
 from hushtext.llm.source_mix import MixTarget, mix_sources
@@ -28,13 +28,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class: five words, 0.8 or more.
+    """One row of each class of near duplicates: five words, 0.8 or more.
 
-    Rows that repeat an id stay or go together.  Rows without id stay.
+    It is the one of the smallest id, null last; of rows with the same id the one whose
+    text has the smallest hash, of rows alike in both any one.  So a row that is repeated
+    whole stays once, and a repeated or null id loses no text.  Texts without a word stay.
     """
-    classes = near_duplicate_classes(docs, 5, (4, 5))
-    others = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    row, least = "near_row", "near_least"
+    while {row, least} & set(docs.columns):
+        row, least = row + "_", least + "_"
+    rows = numbered_rows(docs, row)
+    classes = row_classes(rows, 5, (4, 5), row=row).withColumnRenamed("row", row)
+    placed = rows.select(row, "doc_id", F.xxhash64("text").alias("text_hash")).join(classes, row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", row)
+    first = placed.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias(least))
+    kept = first.select(F.col(f"{least}.{row}").alias(row))
+    kept = kept.union(placed.where("n_shingles = 0").select(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
