@@ -87,8 +87,11 @@ def _luhn(digits: list[int]) -> bool:
 
 
 def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, str, str]]:
-    """``start, end, votes, features`` of each token with a digit or ``@``."""
-    end = 0
+    """``start, end, votes, features`` of each token with a digit or ``@``.
+
+    ``base`` comes by start, so one pass over it goes along with the tokens.
+    """
+    end, at, reach = 0, 0, 0  # reach: the end of all base spans that start before a token's
     while mark := _MARK.search(text, end):
         start = mark.start()
         while start > end and not text[start - 1].isspace():
@@ -102,7 +105,10 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, str, str
         if core:
             first = start + lead
             before = text[max(0, start - 40) : start].lower().split()
-            touched = any(s < first + len(core) and first < e for s, e, _ in base)
+            while at < len(base) and base[at][0] < first + len(core):
+                reach = max(reach, base[at][1])
+                at += 1
+            touched = reach > first
             yield (first, first + len(core), *_describe(core, before, touched, lead > 0))
 
 
@@ -230,7 +236,7 @@ def span_report(model: SpanModel):
 
     @F.pandas_udf(
         "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-        "spans string, n_secret long"
+        "spans string, n_secret long, n_spans long"
     )
     def report(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -238,11 +244,10 @@ def span_report(model: SpanModel):
             base, every = find_spans(text, model)
             counts = [sum(s[2] == k for s in base) for k in range(4)]
             digest = hashlib.sha256(spans_text(base).encode()).hexdigest()
-            rows.append((*counts, digest, spans_text(every), len(every) - len(base)))
-        return pd.DataFrame(
-            rows,
-            columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret"],
-        )
+            extra = len(every) - len(base)
+            rows.append((*counts, digest, spans_text(every), extra, len(every)))
+        names = "n_email n_ip n_card n_phone base_sha256 spans n_secret n_spans"
+        return pd.DataFrame(rows, columns=names.split())
 
     return report
 
