@@ -31,6 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from hushtext.llm.common import discard, saved
@@ -84,8 +85,16 @@ def near_duplicate_classes(
     )
 
 
-def numbered_rows(docs: DataFrame, row: str = "row") -> DataFrame:
-    """``docs`` with a number of its own for each row, written once so that it stays."""
+def numbered_rows(docs: DataFrame, row: str = "row", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with a number of its own for each row.
+
+    It is the id where every row has an id of its own.  Otherwise the rows are numbered and
+    written once, so that the numbers stay.
+    """
+    if docs.schema[doc_id].dataType == T.LongType():
+        odd = docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 OR id IS NULL")
+        if odd.isEmpty():
+            return docs.withColumn(row, F.col(doc_id))
     return saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered_rows")
 
 
@@ -128,6 +137,8 @@ def row_classes(
         .select("tile", "node", "n", "pos", "head").distinct(),
         "shingle_tiles",
     )
+    sizes = saved(features.select("row", "n", "node"), "shingle_sizes")
+    discard(features)
     # texts of the nodes that share a tile: the documents are shuffled once
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
     own = saved(
@@ -211,12 +222,12 @@ def row_classes(
     links = saved(_stars(roots).union(linked(pairs)), "shingle_links")
     roots = saved(members(links), "shingle_roots")
     count = F.col("n").cast("long").alias("n_shingles")
-    found = filled.join(roots, "node", "left").select(
+    found = sizes.where("n > 0").join(roots, "node", "left").select(
         "row", count, F.coalesce("root", "node").alias("root")
     )
-    empty = features.where("n = 0").select("row", count, F.lit(0).cast("long").alias("root"))
+    empty = sizes.where("n = 0").select("row", count, F.lit(0).cast("long").alias("root"))
     classes = saved(found.union(empty), "shingle_classes")
-    discard(features, nodes, shared, own, links, roots, *done)
+    discard(sizes, nodes, shared, own, links, roots, *done)
     return classes
 
 

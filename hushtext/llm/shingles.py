@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MAX_WORDS = 500_000  # of the cache of word hashes; it starts anew when full
+_MAX_WORDS = 150_000  # of the cache of word hashes; it starts anew when full
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(33)

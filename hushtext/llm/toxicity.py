@@ -17,19 +17,22 @@ bounded number of features (``MAX_FEATURES``); scoring is one pass over the text
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushtext.llm.common import saved
+from hushtext.llm.common import discard, saved, slices
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4_096
 LEARNED_TERMS = 400  # words of which swaps are learned, the most frequent ones
+_PART_BYTES = 2_000_000  # of texts that are scored together
+_ROWS = 64  # labelled texts that are described together
 _CONTEXTS = 300  # neighbours that make up a context
 # kinds of identity terms; a term is swapped for the next of its kind
 IDENTITY_TERMS = (
@@ -74,16 +77,18 @@ class ToxicityModel:
         """Column function from a text to its score."""
         weights, bias = self.weights, self.bias
 
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             weight = weights.get
-            logits = []
-            for text in texts:
-                total = bias
-                for token in sorted(weights.keys() & tokens(text)):
-                    total += weight(token)
-                logits.append(total)
-            return pd.Series(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
+            for batch in batches:
+                for part in slices(batch, _PART_BYTES):
+                    logits = []
+                    for text in part.to_pylist():
+                        total = bias
+                        for token in sorted(weights.keys() & tokens(text)):
+                            total += weight(token)
+                        logits.append(total)
+                    yield pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))), pa.float64())
 
         return score
 
@@ -134,22 +139,23 @@ def train_toxicity(
 
     def describe(batches):
         for batch in batches:
-            twins = [swap_identities(t, kinds) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "y": batch["y"],
-                    "found": [list(tokens(t)) for t in batch["text"]],
-                    "twin": [None if t is None else list(tokens(t)) for t in twins],
-                }
-            )
+            for at in range(0, len(batch), _ROWS):
+                rows = []
+                for y, text in batch[["y", "text"]].iloc[at : at + _ROWS].itertuples(index=False):
+                    own, twin = tokens(text), swap_identities(text, kinds)
+                    other = None if twin is None else tokens(twin)
+                    rows.append((
+                        y, list(own), other and list(own - other), other and list(other - own)
+                    ))
+                yield pd.DataFrame(rows, columns=["y", "found", "lost", "gained"])
 
     described = saved(
         sample.select("text", "y").mapInPandas(
-            describe, "y int, found array<string>, twin array<string>"
+            describe, "y int, found array<string>, lost array<string>, gained array<string>"
         ),
         "toxicity_sample",
     )
-    rows, positive, twins = described.agg(F.count("*"), F.sum("y"), F.count("twin")).first()
+    rows, positive, twins = described.agg(F.count("*"), F.sum("y"), F.count("lost")).first()
     if not rows or positive in (0, rows):
         rate = (positive or 0) / max(1, rows)
         bias = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
@@ -167,14 +173,16 @@ def train_toxicity(
     index = {name: i for i, name in enumerate(names)}
 
     def encode(batches):
+        pick = lambda ts: None if ts is None else sorted(index[t] for t in ts if t in index)
         for batch in batches:
-            pick = lambda ts: None if ts is None else sorted(index[t] for t in ts if t in index)
-            yield pd.DataFrame(
-                {"y": batch["y"], "found": map(pick, batch["found"]), "twin": map(pick, batch["twin"])}
-            )
+            columns = {c: batch[c].map(pick) for c in ("found", "lost", "gained")}
+            yield pd.DataFrame({"y": batch["y"]} | columns)
 
-    small = described.mapInPandas(encode, "y int, found array<int>, twin array<int>")
+    small = described.mapInPandas(
+        encode, "y int, found array<int>, lost array<int>, gained array<int>"
+    )
     weights, bias = _fit(small.toPandas(), len(names), fairness)
+    discard(sample, described)
     kept = {n: float(round(x, 6)) for n, x in zip(names, weights, strict=True) if abs(x) > 1e-3}
     return ToxicityModel(kept, float(round(bias, 6)), twins, swaps)
 
@@ -235,6 +243,8 @@ def learn_swaps(sample: DataFrame, terms: int) -> tuple[tuple[str, str], ...]:
 class Problem:
     """Loss and gradient over texts as feature numbers, with twins for some of them.
 
+    ``rows`` has ``y`` and ``found``, and of a twin the features ``lost`` and ``gained``.
+
     The loss is the mean logistic loss, plus ``fairness`` times the mean squared change of
     the logit from a text to its twin, plus a small square of the weights.
     """
@@ -248,11 +258,10 @@ class Problem:
         self.owner = np.repeat(np.arange(len(rows)), sizes)
         self.column = np.concatenate([np.asarray(f, np.int64) for f in rows["found"]])
         differ = [
-            (np.setdiff1d(f, t), np.setdiff1d(t, f))
-            for f, t in zip(rows["found"], rows["twin"], strict=True)
-            if t is not None
+            (np.asarray(a, np.int64), np.asarray(b, np.int64))
+            for a, b in zip(rows["lost"], rows["gained"], strict=True)
+            if a is not None and len(a) + len(b)
         ]
-        differ = [(np.asarray(a, np.int64), np.asarray(b, np.int64)) for a, b in differ if len(a) + len(b)]
         self.twins = len(differ)
         nothing = [np.empty(0, np.int64)]
         self.twin_row = np.repeat(np.arange(len(differ)), [len(a) + len(b) for a, b in differ])

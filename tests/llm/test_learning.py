@@ -18,7 +18,8 @@ def test_gradient_equals_differences():
     rows = pd.DataFrame({
         "y": rng.integers(0, 2, 40),
         "found": [sorted(rng.choice(12, rng.integers(0, 6), replace=False)) for _ in range(40)],
-        "twin": [sorted(rng.choice(12, 3, replace=False)) if i % 3 else None for i in range(40)],
+        "lost": [sorted(rng.choice(6, 2, replace=False)) if i % 3 else None for i in range(40)],
+        "gained": [sorted(rng.choice([7, 8, 9], 1)) if i % 3 else None for i in range(40)],
     })
     for fairness in (0.0, 1.0, 5.0):
         problem = Problem(rows, 12, fairness)
@@ -36,7 +37,7 @@ def test_gradient_equals_differences():
 
 
 def test_loss_by_hand():
-    rows = pd.DataFrame({"y": [1, 0], "found": [[0, 1], [1]], "twin": [[1, 2], None]})
+    rows = pd.DataFrame({"y": [1, 0], "found": [[0, 1], [1]], "lost": [[0], None], "gained": [[2], None]})
     w = np.array([0.5, -0.25, 0.1])
     logits = np.array([0.5 - 0.25 + 0.2, -0.25 + 0.2])
     plain = np.mean(np.log1p(np.exp(logits)) - np.array([1, 0]) * logits)
