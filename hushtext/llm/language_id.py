@@ -90,7 +90,8 @@ def train_languages(
         F.least(F.lit(1.0), 4.0 * rows / F.approx_count_distinct("hash")).alias("share")
     )
     place = F.expr(f"(hash & {(1 << 30) - 1}) / {float(1 << 30)}D")
-    some = usable.join(shares, "lang").where(place < F.col("share"))
+    # one row for each language, as the model has one dictionary for each
+    some = usable.join(F.broadcast(shares), "lang").where(place < F.col("share"))
     each = some.groupBy("lang", "hash").agg(
         F.first(F.substring("text", 1, dictionary_bytes)).alias("text")
     )
