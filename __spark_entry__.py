@@ -162,7 +162,7 @@ def _redact_sql(source, keys, safe_harbor=False, skip=(), config=None):
 def _summary(source: str, keys: list[str], by: list[str], safe_harbor=True):
     def run(spark, sf_dir):
         texts = _input(spark, sf_dir, source)
-        return ht.redaction_summary(ht.redact(texts, safe_harbor=safe_harbor), by)
+        return ht.redaction_summary(ht.redact(texts, safe_harbor=safe_harbor, text=False), by)
 
     inner = _redact_sql(source, keys, safe_harbor)
     columns = [*by, 'count(*) AS "rows"']
@@ -231,7 +231,7 @@ def _counts_only(source: str, keys: list[str], column: str):
 
 def _report(source: str, keys: list[str]):
     def run(spark, sf_dir):
-        rows = ht.redact(_input(spark, sf_dir, source), safe_harbor=True)
+        rows = ht.redact(_input(spark, sf_dir, source), safe_harbor=True, text=False)
         return ht.redaction_report(rows)
 
     return run, _report_sql(source, keys)

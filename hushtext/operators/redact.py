@@ -50,20 +50,26 @@ def redact(
     skip: Collection[str] = (),
     config: Options | Mapping[str, Any] | None = None,
     counts: bool = True,
+    text: bool = True,
 ) -> DataFrame:
     """Add ``redacted``, ``redaction_counts`` and ``redactions_total``.
 
     Works on batch and streaming DataFrames alike: there is no shuffle and no
-    state.  Only a dictionary too long for a pattern is joined, in batches.  All input columns are kept; a null text gives a null ``redacted``
-    and zero counts.  ``counts=False`` adds ``redacted`` only.
+    state.  Only a dictionary too long for a pattern is joined, in batches.  All
+    input columns are kept; a null text gives a null ``redacted`` and zero counts.
+    ``counts=False`` adds ``redacted`` only; ``text=False`` adds the counts only, for
+    summaries and reports, and leaves out the work on the text after the last rule.
     """
+    if not (counts or text):
+        raise ValueError("neither text nor counts are wanted")
     rules = active_rules(_options(config), safe_harbor=safe_harbor, skip=skip)
-    added = [REDACTED, COUNTS, TOTAL] if counts else [REDACTED]
+    added = [REDACTED] * text + [COUNTS, TOTAL] * counts
     _check_columns(df, added)
 
     work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
-    work = tidy_column(work, _TEXT)
-    work = work.withColumn(REDACTED, marks.unprotect(_TEXT))
+    if text:
+        work = tidy_column(work, _TEXT)
+        work = work.withColumn(REDACTED, marks.unprotect(_TEXT))
     if counts:
         per_category: dict[str, list[str]] = {}
         for rule in rules:

@@ -67,3 +67,17 @@ def test_observed_with_the_write(rows, tmp_path):
     assert list(json.loads(ht.format_report(seen.get, as_json=True))) == list(
         fixed.COUNT_FIELDS
     )
+
+
+def test_counts_without_text(spark, rows):
+    texts = spark.createDataFrame(TEXTS, "lang string, text string")
+    counted = ht.redact(texts, text=False)
+    assert counted.columns == ["lang", "text", "redaction_counts", "redactions_total"]
+    assert counted.exceptAll(rows.drop("redacted")).isEmpty()
+    for form in (ht.redaction_summary, ht.redaction_report):
+        assert form(counted).collect() == form(rows).collect()
+        plan = form(counted)._jdf.queryExecution().optimizedPlan().toString()
+        tidied = form(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "btrim" not in plan.lower() and "trim(" not in plan and len(plan) < len(tidied)
+    with pytest.raises(ValueError, match="neither"):
+        ht.redact(texts, text=False, counts=False)
