@@ -383,6 +383,66 @@ def test_chats_of_odd_rows(spark):
     assert alone == "<|system|>\ns<|end|>\n<|user|>\n<|end|>\n<|assistant|>\n<|end|>\n"
 
 
+def test_a_chat_cut_into_blocks_and_spans_costs_no_more(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    monkeypatch.setattr(chat, "SPAN_BLOCKS", 3)
+    rng = random.Random(8)
+    names = ["user", "assistant", "system", None]
+    rows, expected = [], {}
+    for conv in [*range(30), None]:
+        roles = [rng.choice(names) for _ in range(rng.choice([1, 3, 4, 5, 12, 13, 60, 61]))]
+        rows += [(conv, t, r, f"t{t}") for t, r in enumerate(roles)]
+        expected[conv] = least_cost([chat.role_number(r) for r in roles])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.format_chats(df.repartition(5)).collect()
+    assert len(found) == len(rows) and all(r.place == r.turn for r in found)
+    for conv in expected:
+        turns = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.place)
+        order = re.findall(r"<\|(system|user|assistant)\|>", "".join(r.rendered for r in turns))
+        rest = order[1:] if order[0] == "system" else order
+        assert rest == ["user", "assistant"] * (len(rest) // 2)
+        cost, last = 0, None
+        for r in turns:
+            if r.action == "merge":
+                cost += 1 if chat.role_number(r.role) == chat.role_number(last) else 3
+            else:
+                cost += {"keep": 0, "relabel": 2, "insert": 2}[r.action]
+            last = r.role_out
+        written = sum(r.action != "merge" for r in turns) + sum(r.inserted is not None for r in turns)
+        assert cost + 2 * (len(order) - written) == expected[conv]
+
+
+def test_turns_without_numbers_or_conversation_spread_over_tasks(spark):
+    """100,000 rows that agree in every key, many of them whole."""
+    rows = spark.range(0, 100_000, 1, 16).selectExpr(
+        "if(id % 3 = 0, 5L, cast(null as long)) as conv_id", "cast(null as long) as turn",
+        "if(id % 2 = 0, 'user', 'assistant') as role",
+        "if(id % 7 = 0, cast(null as string), repeat('x', int(id % 70) + 1)) as text",
+    )
+    placed = chat.numbered_turns(rows).collect()
+    for conv, n in ((5, 33_334), (None, 66_666)):
+        turns = sorted((r for r in placed if r.conv_id == conv), key=lambda r: r.place)
+        assert [r.place for r in turns] == list(range(n))
+        key = [(r.role, r.text is not None, (r.text or "")[:64]) for r in turns]
+        assert key == sorted(key)
+    found = chat.format_chats(rows).collect()
+    assert len(found) == 100_000
+    for conv in (5, None):
+        turns = sorted((r for r in found if r.conv_id == conv), key=lambda r: r.place)
+        order = re.findall(r"<\|(system|user|assistant)\|>", "".join(r.rendered for r in turns))
+        assert order == ["user", "assistant"] * (len(order) // 2)
+
+
+def test_ranges_of_turns_are_even(spark):
+    """The rows of one conversation, all equal, lie in every range."""
+    rows = spark.range(0, 40_000, 1, 8).selectExpr(
+        "cast(null as long) as conv_id", "1L as turn", "'user' as role", "'same' as text"
+    )
+    dealt = chat.numbered_turns(rows)
+    blocks = dealt.groupBy(F.expr(f"place div {chat.BLOCK_TURNS}")).count().collect()
+    assert len(blocks) == 157 and max(r["count"] for r in blocks) == 256
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 
