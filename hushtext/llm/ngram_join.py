@@ -113,7 +113,7 @@ def row_classes(
     num, den = at_least
     texts = rows.select(F.col(row).alias("row"), F.col(text).alias("text"))
     levels = _slot_levels(texts, words)
-    features = saved(_features(texts, words, num, den, levels), "shingle_features")
+    features = saved(_features(texts, words, num, den, levels), "shingle_features", "zstd")
     filled = features.where("n > 0")
     nodes = saved(
         filled.groupBy("node").agg(
@@ -127,23 +127,28 @@ def row_classes(
     in_tiles = in_tiles.select(
         "node", "n", "pos", F.explode(_bands(num, den)).alias("band"), "shingle"
     ).select("node", "n", "pos", F.xxhash64("shingle", "band").alias("tile"))
+    # most tiles hold one node: no more than its hash is shuffled to find that out
     tiles = (
         in_tiles.groupBy("tile")
-        .agg(F.min(F.struct("node", "n", "pos")).alias("head"), F.max("node").alias("last"))
-        .where("head.node <> last")
+        .agg(F.min("node").alias("least"), F.max("node").alias("last"))
+        .where("least <> last")
     )
-    shared = saved(
-        in_tiles.join(tiles.select("tile", "head"), "tile")
-        .select("tile", "node", "n", "pos", "head").distinct(),
-        "shingle_tiles",
+    joint = saved(
+        in_tiles.join(tiles.select("tile", "least"), "tile")
+        .select("tile", "node", "n", "pos", "least").distinct(),
+        "shingle_joint",
     )
+    first = joint.where("node = least").groupBy("tile")
+    first = first.agg(F.min(F.struct("node", "n", "pos")).alias("head"))
+    shared = saved(joint.drop("least").join(first, "tile"), "shingle_tiles")
     sizes = saved(features.select("row", "n", "node"), "shingle_sizes")
-    discard(features)
+    discard(features, joint)
     # texts of the nodes that share a tile: the documents are shuffled once
     wanted = shared.select("node").distinct().join(nodes.select("node", "rep"), "node")
     own = saved(
         texts.withColumnRenamed("row", "rep").join(wanted, "rep").select("node", "text"),
         "shingle_texts",
+        "zstd",
     )
 
     def linked(pairs: DataFrame) -> DataFrame:
