@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,8 +40,9 @@ def has_non_ascii(text: Column | str) -> Column:
 def nfkc(text: Column | str) -> Column:
     """Unicode NFKC.
 
-    Spark has no native function for it.  ASCII text is its own NFKC form, so
-    only other text crosses over to the Arrow function.
+    Spark has no native function for it.  Text of which no character can change
+    or combine is its own NFKC form, so only other text crosses over to the Arrow
+    function.
     """
     text = _col(text)
     return F.coalesce(nfkc_or_null(text), text)
@@ -46,7 +50,79 @@ def nfkc(text: Column | str) -> Column:
 
 def nfkc_or_null(text: Column) -> Column:
     """NFKC of non-ASCII text; null for ASCII text, which needs nothing."""
-    return _nfkc(F.when(has_non_ascii(text), text))
+    changed = _nfkc(F.when(may_change_by_nfkc(text), text))
+    return F.when(has_non_ascii(text), F.coalesce(changed, text))
+
+
+def may_change_by_nfkc(text: Column | str) -> Column:
+    """False only if the text surely is its own NFKC form.
+
+    This is the quick check of the Unicode standard: true if a character changes
+    alone, combines with the one before, or has an order among combining marks.
+    """
+    text = _col(text)
+    return has_non_ascii(text) & text.rlike(_nfkc_pattern())
+
+
+@cache
+def nfkc_spans() -> tuple[tuple[int, int], ...]:
+    """Ranges of the code points that NFKC can change or combine, from Python's tables.
+
+    Unassigned code points between two of them count as well.
+    """
+    combining = set(range(0x1160, 0x1200))  # Korean letters are combined by rule
+    odd = set()
+    # the other planes hold nothing or private characters
+    codes = list(chain(range(0x40000), range(0xE0000, 0xF0000)))
+    for code in codes:
+        ch = chr(code)
+        parts = unicodedata.decomposition(ch)
+        if parts and parts[0] != "<":
+            combining.update(int(part, 16) for part in parts.split()[1:])
+        if unicodedata.combining(ch) or (parts and unicodedata.normalize("NFKC", ch) != ch):
+            odd.add(code)
+    odd |= combining
+    spans: list[list[int]] = []
+    open_ = False
+    for code in codes:
+        if code in odd:
+            if open_:
+                spans[-1][1] = code
+            else:
+                spans.append([code, code])
+            open_ = True
+        elif open_:
+            open_ = unicodedata.category(chr(code)) == "Cn"
+    return tuple((first, last) for first, last in spans)
+
+
+_COMMON_RANGES = 12
+_CLASS_RANGES = 16
+
+
+@cache
+def _nfkc_pattern() -> str:
+    """A character within ``nfkc_spans``.
+
+    A class tries its ranges one by one, so long ranges without such a character,
+    which hold nearly all letters in use, are ruled out first: those of the alphabets
+    up to U+0700 and the longest of the rest.
+    """
+    spans = nfkc_spans()
+    ends = [-1, *(last for _, last in spans)]
+    free = [(end + 1, first - 1) for end, (first, _) in zip(ends, spans, strict=False)]
+    plain, *free = [r for r in free if r[0] < 0x10000]
+    letters = [r for r in free if r[0] < 0x700 and r[1] - r[0] >= 30]
+    longest = sorted(set(free) - set(letters), key=lambda r: r[0] - r[1])
+    common = letters + longest[:_COMMON_RANGES]
+
+    def ranges(some) -> str:
+        return "".join(rf"\x{{{first:x}}}-\x{{{last:x}}}" for first, last in some)
+
+    parts = [
+        f"[{ranges(spans[i : i + _CLASS_RANGES])}]" for i in range(0, len(spans), _CLASS_RANGES)
+    ]
+    return f"[[^{ranges([plain])}]&&[^{ranges(common)}]&&[{''.join(parts)}]]"
 
 
 def contains_any(text: str, needles: Iterable[str]) -> Column:
@@ -116,7 +192,8 @@ def normalize_column(df: DataFrame, source: Column, nfkc_name: str, name: str):
 
     ``translate`` takes a text apart character by character and a pattern has to
     decode it, so both wait for a byte search to find them something to do.
-    Only non-ASCII text goes through NFKC and the folds.
+    Only non-ASCII text goes through NFKC and the folds, and only what NFKC could
+    change leaves the JVM for it.
     """
     symbols = "".join(SYMBOL_FOLDS.values())
     folded = F.when(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import hushtext as ht
 from hushtext import functions as hf
+from hushtext.functions.text import may_change_by_nfkc, nfkc_spans
 from hushtext.plans.dictionary import WHITE_SPACE
 
 
@@ -30,6 +31,47 @@ def test_nfkc(characters):
     assert ascii_only.where(hf.nfkc("text") != F.col("text")).isEmpty()
 
 
+def test_nfkc_without_marks_around(characters):
+    """Most of these texts stay in the JVM."""
+    texts = characters.select("ch", F.concat(F.lit("a"), "ch", F.lit("b"), "ch").alias("text"))
+    rows = texts.select("text", hf.nfkc("text").alias("out")).collect()
+    assert not [r for r in rows if unicodedata.normalize("NFKC", r.text) != r.out]
+    kept = texts.where(~may_change_by_nfkc("text"))
+    assert kept.count() > 0.8 * len(rows)
+
+
+def test_quick_check_of_nfkc_over_all_code_points(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    inside = {c for first, last in nfkc_spans() for c in range(first, last + 1)}
+    for code in set(codes) - inside:
+        ch = chr(code)
+        assert unicodedata.combining(ch) == 0
+        assert unicodedata.is_normalized("NFKC", ch)
+    # no character outside the ranges combines with one before it
+    for code in codes:
+        parts = unicodedata.normalize("NFD", chr(code))
+        assert all(ord(part) in inside for part in parts[1:])
+    # the pattern is these ranges
+    found = spark.range(1, 0x110000, numPartitions=8).where(f"id < {0xD800} OR id >= {0xE000}")
+    found = found.withColumn("ch", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32"))
+    found = found.where(may_change_by_nfkc("ch")).select("id").collect()
+    assert {r.id for r in found} == inside - set(range(0xD800, 0xE000))
+
+
+def test_letters_of_many_scripts_stay_in_the_jvm(spark):
+    texts = ["Größe, État, señal", "Ελλάδα", "Привет", "日本語のテキスト", "한국어", "שלום", "مرحبا", "“ok” – it’s"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(may_change_by_nfkc("t")).isEmpty()
+    assert [r[0] for r in df.select(hf.nfkc("t")).collect()] == texts
+    assert df.select(ht.normalize_text("t")).collect()[-1][0] == "\"ok\" - it's"
+    changed = ["ﬁt", "e\u0301", "½", "a\u00a0b", "\u1112\u1161", "ｶﾞ"]
+    df = spark.createDataFrame([(t,) for t in changed], "t string")
+    assert df.where(~may_change_by_nfkc("t")).isEmpty()
+    assert [r[0] for r in df.select(hf.nfkc("t")).collect()] == [
+        unicodedata.normalize("NFKC", t) for t in changed
+    ]
+
+
 def test_whitespace_is_the_unicode_property(characters):
     spaces = characters.where(hf.squeeze_spaces(F.concat("ch", "ch")) == " ")
     assert {r.ch for r in spaces.collect()} == set(WHITE_SPACE) - set("\r\n")
