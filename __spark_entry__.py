@@ -289,10 +289,10 @@ def _streamed(keys: list[str]):
 
     def run(spark, sf_dir):
         schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+        # a pattern, as a stream takes it for one file and for a folder of files alike
         stream = (
             spark.readStream.schema(schema)
-            .option("pathGlobFilter", "documents.parquet")
-            .parquet(sf_dir)
+            .parquet(f"{sf_dir}/{{documents.parquet}}")
             .select("doc_id", "lang", "source", "text")
         )
         path = scratch_path(spark, "streamed")

@@ -4,6 +4,7 @@ from unittest import mock
 import pytest
 from conftest import SMALL
 
+import __spark_entry__
 import hushtext as ht
 from hushtext.sources.scratch import scratch_path
 
@@ -109,3 +110,12 @@ def test_scratch_paths_follow_the_cluster_setting(tmp_path):
     cluster.conf.get.return_value = None
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(cluster, "x")
+
+
+def test_the_streamed_query_takes_a_folder_of_files(spark, tmp_path):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    query = __spark_entry__.queries()["redact_stream"]
+    found, whole = query(spark, str(tmp_path)), query(spark, SMALL)
+    assert found.count() == documents.count()
+    assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
