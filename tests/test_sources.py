@@ -4,6 +4,8 @@ from unittest import mock
 import pytest
 from conftest import SMALL
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import hushtext as ht
 from hushtext.sources.scratch import scratch_path
@@ -119,3 +121,23 @@ def test_the_streamed_query_takes_a_folder_of_files(spark, tmp_path):
     found, whole = query(spark, str(tmp_path)), query(spark, SMALL)
     assert found.count() == documents.count()
     assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty()
+
+
+def test_tasks_do_not_grow_with_the_rows_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 300_000, 1, 8).write.parquet(path)  # short rows in eight files
+    assert spark.read.parquet(path).rdd.getNumPartitions() == 8
+    dealt = ht.read_table(spark, path)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("part")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 25_000
+    assert dealt.count() == dealt.distinct().count() == 300_000
+
+
+def test_tasks_do_not_grow_with_the_bytes_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "long")
+    text = F.expr("array_join(transform(sequence(1, 400), x -> sha2(concat(id, x), 256)), '')")
+    spark.range(0, 2_000, 1, 8).withColumn("text", text).write.parquet(path)  # 50 MB
+    assert spark.read.parquet(path).rdd.getNumPartitions() == 8
+    dealt = ht.read_table(spark, path)
+    assert dealt.rdd.getNumPartitions() >= 12
+    assert dealt.count() == dealt.distinct().count() == 2_000
