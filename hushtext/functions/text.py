@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import cache
 from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +19,13 @@ from hushtext.plans.fixed_values import SYMBOL_FOLDS
 
 def _nfkc_function():
     # a local function travels by value: workers need not have this package
-    def normalize(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
+    def normalize(texts: pa.Array) -> pa.Array:
+        # one text at a time, so that besides the batch only its result is kept
+        found = (text.as_py() for text in texts)
+        forms = (text and unicodedata.normalize("NFKC", text) for text in found)
+        return pa.array(forms, pa.string(), size=len(texts))
 
-    return F.pandas_udf(normalize, T.StringType())
+    return F.arrow_udf(normalize, T.StringType())
 
 
 _nfkc = _nfkc_function()
