@@ -107,14 +107,15 @@ _CLASS_RANGES = 16
 def _nfkc_pattern() -> str:
     """A character within ``nfkc_spans``.
 
-    A class tries its ranges one by one, so long ranges without such a character,
-    which hold nearly all letters in use, are ruled out first: those of the alphabets
-    up to U+0700 and the longest of the rest.
+    A class tries its ranges one by one, so ranges without such a character that hold
+    nearly all text in use are ruled out first: those of dashes, quotes and bullets, then
+    those of the alphabets up to U+0700 and the longest of the rest.
     """
     spans = nfkc_spans()
     ends = [-1, *(last for _, last in spans)]
     free = [(end + 1, first - 1) for end, (first, _) in zip(ends, spans, strict=False)]
     plain, *free = [r for r in free if r[0] < 0x10000]
+    signs = [r for r in free if 0x2010 <= r[0] < 0x2040]
     letters = [r for r in free if r[0] < 0x700 and r[1] - r[0] >= 30]
     longest = sorted(set(free) - set(letters), key=lambda r: r[0] - r[1])
     common = letters + longest[:_COMMON_RANGES]
@@ -125,7 +126,8 @@ def _nfkc_pattern() -> str:
     parts = [
         f"[{ranges(spans[i : i + _CLASS_RANGES])}]" for i in range(0, len(spans), _CLASS_RANGES)
     ]
-    return f"[[^{ranges([plain])}]&&[^{ranges(common)}]&&[{''.join(parts)}]]"
+    ordinary = "&&".join(f"[^{ranges(some)}]" for some in ([plain], signs, common))
+    return f"[{ordinary}&&[{''.join(parts)}]]"
 
 
 def contains_any(text: str, needles: Iterable[str]) -> Column:

@@ -1,5 +1,6 @@
 """Column functions against Python on every character."""
 
+import re
 import unicodedata
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import hushtext as ht
 from hushtext import functions as hf
-from hushtext.functions.text import may_change_by_nfkc, nfkc_spans
+from hushtext.functions.text import _nfkc_pattern, may_change_by_nfkc, nfkc_spans
 from hushtext.plans.dictionary import WHITE_SPACE
 
 
@@ -58,6 +59,14 @@ def test_quick_check_of_nfkc_over_all_code_points(spark):
     assert {r.id for r in found} == inside - set(range(0xD800, 0xE000))
 
 
+def test_common_signs_are_ruled_out_before_the_long_class():
+    ordinary = _nfkc_pattern().split("&&[[")[0]
+    free = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", ordinary)
+    spans = [(int(first, 16), int(last, 16)) for first, last in free]
+    for ch in "‘’‛“”–—•‧é":
+        assert any(first <= ord(ch) <= last for first, last in spans)
+
+
 def test_letters_of_many_scripts_stay_in_the_jvm(spark):
     texts = ["Größe, État, señal", "Ελλάδα", "Привет", "日本語のテキスト", "한국어", "שלום", "مرحبا", "“ok” – it’s"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
