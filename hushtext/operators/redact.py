@@ -41,6 +41,9 @@ _MARKED = _PREFIX + "marked"
 _KEYWORDS = _PREFIX + "keywords"
 _DIGITS = _PREFIX + "digits"
 
+# rules between two ``_pause``s
+_RULES_PER_METHOD = 4
+
 
 def redact(
     df: DataFrame,
@@ -67,6 +70,8 @@ def redact(
     _check_columns(df, added)
 
     work, tallies = _apply(normalize_column(df, F.col(text_col), _NFKC, _TEXT), rules)
+    if text or tallies:
+        work = _pause(work, [_TEXT] * text + list(tallies.values()))
     if text:
         work = tidy_column(work, _TEXT)
         work = work.withColumn(REDACTED, marks.unprotect(_TEXT))
@@ -113,6 +118,16 @@ def _seal(work: DataFrame, kept: list[str], added: list[str]) -> DataFrame:
     return work.select(*[F.col(c) for c in names], F.inline(F.array(results)))
 
 
+def _pause(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same columns, ``names`` handed on by a generator of one row.
+
+    Spark writes a chain of projections as one Java method, and a JVM only interprets a
+    method of more than 8,000 bytes.  What follows a generator is a method of its own.
+    """
+    kept = [c for c in df.columns if c not in names and c not in (_MARKED, _NFKC)]
+    return _seal(df, kept, names)
+
+
 def _options(config: Options | Mapping[str, Any] | None) -> Options:
     if isinstance(config, Options):
         return config
@@ -132,11 +147,18 @@ def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]
     step, so a single nested expression would double with each rule.
     """
     df, flags = _with_guards(df, rules)
+    if flags:
+        df = _pause(df, [_TEXT, *flags.values()])
     tallies: dict[str, str] = {}
     pending: dict[str, Column] = {}
     cuts: list[str] = []
 
-    for rule in rules:
+    for at, rule in enumerate(rules):
+        if at and at % _RULES_PER_METHOD == 0:
+            if pending:
+                df, pending = df.withColumns(pending), {}
+            recent = [tallies[r.id] for r in rules[at - _RULES_PER_METHOD : at]]
+            df = _pause(df, [_TEXT, *recent])
         name = tallies[rule.id] = _PREFIX + "n_" + rule.id
         mark = f"{marks.OPEN}$0{marks.CLOSE}" if rule.keep_stop_terms else marks.OPEN
         pattern = F.lit(rule.pattern)
@@ -160,7 +182,7 @@ def _apply(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str, str]]
             tokens = f"regexp_replace({_MARKED}, '{_BRACKETED}', '{rule.token}')"
             pending, count = {}, {name: _count_marks()}
         else:
-            tokens = f"replace({_MARKED}, '{marks.OPEN}', '{rule.token}')"
+            tokens = f"array_join(split({_MARKED}, '{marks.OPEN}'), '{rule.token}')"
             # each mark grows into a token, so the lengths tell how many
             pending, count = {name: _grown_by(len(rule.token) - marks.WIDTH)}, {}
         replaced = F.expr(

@@ -1,6 +1,7 @@
 """What the plans look like, and that they do not depend on the partitioning."""
 
 import json
+import re
 
 import pytest
 from conftest import SMALL
@@ -26,6 +27,20 @@ def test_one_narrow_stage(documents):
     assert all("*(" in line for line in plan.splitlines() if "Project [" in line)
 
 
+@pytest.mark.parametrize("safe_harbor", [False, True])
+def test_generated_methods_are_small_enough_to_be_compiled(
+    spark, documents, capsys, safe_harbor
+):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # or no code is shown
+    try:
+        ht.redact(documents, safe_harbor=safe_harbor).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    # the JVM only interprets longer ones
+    assert sizes and all(int(size) <= 8000 for size in sizes)
+
+
 def test_only_needed_columns_are_read(documents):
     rows = ht.redaction_summary(ht.redact(documents), ["lang"])
     assert "ReadSchema: struct<text:string,lang:string>" in plan_of(rows)
