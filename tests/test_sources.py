@@ -141,3 +141,18 @@ def test_tasks_do_not_grow_with_the_bytes_of_a_table(spark, tmp_path):
     dealt = ht.read_table(spark, path)
     assert dealt.rdd.getNumPartitions() >= 12
     assert dealt.count() == dealt.distinct().count() == 2_000
+
+
+def test_tasks_of_the_single_rules_do_not_grow_with_the_notes(spark, tmp_path):
+    for name in ("documents", "conversations", "pages", "benchmark"):
+        table = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    orders = spark.range(0, 1_000_000, 1, 8).selectExpr(
+        "id AS o_orderkey", "id % 1000 AS o_custkey", "date'2024-01-02' AS o_orderdate"
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    texts = __spark_entry__._input(spark, str(tmp_path), __spark_entry__.ALL_TEXTS)
+    notes = texts.where("src = 'note'").select("a", F.spark_partition_id().alias("part"))
+    sizes = notes.groupBy("part").count().agg(F.max("count"), F.sum("count")).first()
+    # 31,250 in each of four tasks a core
+    assert sizes[0] <= 26_000 and sizes[1] == 1_000_000
