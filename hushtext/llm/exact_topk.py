@@ -6,9 +6,10 @@ sum of its products with these maxima bounds every score in the block.  Each que
 the blocks in order of their bounds and scores a block through its forward index; it is
 done when the next bound falls below its k-th score.
 
-Queries are packed into tiles and blocks into chunks; every tile meets every chunk once,
-in a join on the chunk's number.  A task holds one tile and one chunk at a time, so
-memory does not grow with either side.
+Queries are packed into tiles and blocks into chunks, in the narrowest integers that
+hold them; every tile meets every chunk once, in a cogroup by chunk and group of tiles.
+A task holds one chunk and about ``GROUP_TILES`` tiles at a time, so memory does not grow
+with either side; both are shuffled, and the driver gets the numbers of the chunks only.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from hushtext.llm.common import saved
 BLOCK = 512
 CHUNK_BLOCKS = 32
 TILE = 512
-_PACKED = "number long, n int, width int, ids binary, matrix binary"
+GROUP_TILES = 16
+_FOUND = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
 
 
 def quantised(vector: str, scale: int = 64):
@@ -57,13 +59,20 @@ def top_k(
     """
     chunks = saved(_packed(vectors, BLOCK * CHUNK_BLOCKS), "topk_chunks")
     tiles = saved(_packed(queries, TILE), "topk_tiles")
-    every = [r.number for r in chunks.select("number").collect()]  # 1 per 16,384 rows
-    right = chunks.toDF("chunk", *[f"c_{c}" for c in chunks.columns[1:]])
-    left = tiles.toDF("tile", *[f"t_{c}" for c in tiles.columns[1:]]).withColumn(
-        "chunk", F.explode(F.array(*[F.lit(c) for c in every]).cast("array<long>"))
+    groups = -(-(tiles.agg(F.sum("n")).first()[0] or 1) // (TILE * GROUP_TILES))
+    # a number per 16,384 rows is all that is broadcast: copies of tiles would be
+    # collected on the driver, as many as there are pairs of a tile and a chunk
+    every = F.broadcast(chunks.select(F.col("number").alias("chunk")))
+    left = tiles.withColumn("group", F.expr(f"pmod(xxhash64(number), {groups}L)")).crossJoin(every)
+    right = chunks.withColumnRenamed("number", "chunk").withColumn(
+        "group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
     )
     schema = "query_id long, vec_id long, score long"
-    found = left.join(right, "chunk").mapInPandas(_searcher(k, skip_self), schema)
+    found = (
+        left.groupBy("chunk", "group")
+        .cogroup(right.groupBy("chunk", "group"))
+        .applyInPandas(_searcher(k, skip_self), schema)
+    )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
@@ -83,9 +92,10 @@ def _packed(vectors: DataFrame, most: int) -> DataFrame:
             matrix = np.zeros((len(rows), width), np.int64)
             for i, row in enumerate(rows):
                 matrix[i, : len(row)] = row
+            matrix = _narrowed(matrix)
             return pd.DataFrame(
                 {
-                    "n": [len(rows)], "width": [width],
+                    "n": [len(rows)], "width": [width], "kind": [matrix.dtype.str],
                     "ids": [np.array(ids, np.int64).tobytes()], "matrix": [matrix.tobytes()],
                 }
             )
@@ -105,22 +115,33 @@ def _packed(vectors: DataFrame, most: int) -> DataFrame:
     ranged = usable.repartitionByRange(max(1, -(-count // most)), "vec_id")
     return (
         ranged.sortWithinPartitions("vec_id")
-        .mapInPandas(pack, "n int, width int, ids binary, matrix binary")
+        .mapInPandas(pack, "n int, width int, kind string, ids binary, matrix binary")
         .select(F.monotonically_increasing_id().alias("number"), "*")
     )
 
 
-def _unpacked(n: int, width: int, ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(n, width)
+def _narrowed(matrix: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest kind that holds them and their negatives."""
+    least, most = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    for kind in (np.int8, np.int16, np.int32):
+        if max(most, -least) <= np.iinfo(kind).max:
+            return matrix.astype(kind)
+    return matrix
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    matrix = np.frombuffer(row.matrix, np.dtype(row.kind)).reshape(row.n, row.width)
+    return np.frombuffer(row.ids, np.int64), matrix
 
 
 def _searcher(k: int, skip_self: bool):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                query_ids, query = _unpacked(row.t_n, row.t_width, row.t_ids, row.t_matrix)
-                ids, matrix = _unpacked(row.c_n, row.c_width, row.c_ids, row.c_matrix)
-                yield search_chunk(query_ids, query, ids, matrix, k, skip_self)
+    def search(tiles: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({c: np.empty(0, kind) for c, kind in _FOUND.items()})]
+        for chunk in chunks.itertuples(index=False):
+            ids, matrix = _unpacked(chunk)
+            for tile in tiles.itertuples(index=False):
+                found.append(search_chunk(*_unpacked(tile), ids, matrix, k, skip_self))
+        return pd.concat(found, ignore_index=True)
 
     return search
 
