@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import cache
 from itertools import chain
 
@@ -192,9 +192,25 @@ _ODD_ASCII_SPACES = "\t\x0b\f"
 _ODD_OTHER_SPACES = "\x85\u1680\u2028\u2029"
 
 
-def normalize_column(df: DataFrame, source: Column, nfkc_name: str, name: str):
+def with_spaces_squeezed(df: DataFrame, name: str) -> DataFrame:
+    """Replace ``name``, a text with marks protected, where it has spaces to squeeze."""
+    spaced = contains_any(name, ["  ", *_ODD_ASCII_SPACES]) | (
+        has_non_ascii(name) & contains_any(name, _ODD_OTHER_SPACES)
+    )
+    return df.withColumn(name, F.when(spaced, squeeze_spaces(name)).otherwise(F.col(name)))
+
+
+def normalize_column(
+    df: DataFrame,
+    source: Column,
+    nfkc_name: str,
+    name: str,
+    beside: Mapping[str, Column] | None = None,
+):
     """Add ``name``, the normalized form of ``source``.
 
+    ``beside`` are columns to add along with NFKC, as one Python step can hold several.
+
     ``translate`` takes a text apart character by character and a pattern has to
     decode it, so both wait for a byte search to find them something to do.
     Only non-ASCII text goes through NFKC and the folds, and only what NFKC could
@@ -204,18 +220,13 @@ def normalize_column(df: DataFrame, source: Column, nfkc_name: str, name: str):
     folded = F.when(
         contains_any(nfkc_name, symbols), fold_symbols(nfkc_name)
     ).otherwise(F.col(nfkc_name))
-    spaced = contains_any(name, ["  ", *_ODD_ASCII_SPACES]) | (
-        has_non_ascii(name) & contains_any(name, _ODD_OTHER_SPACES)
-    )
-    return (
-        df.withColumn(nfkc_name, nfkc_or_null(source))
+    df = (
+        df.withColumns({nfkc_name: nfkc_or_null(source)} | dict(beside or {}))
         .withColumn(nfkc_name, folded)
         .withColumn(name, F.coalesce(F.col(nfkc_name), source))
         .withColumn(name, marks.protect(name))
-        .withColumn(
-            name, F.when(spaced, squeeze_spaces(name)).otherwise(F.col(name))
-        )
     )
+    return with_spaces_squeezed(df, name)
 
 
 def tidy_column(df: DataFrame, name: str) -> DataFrame:

@@ -14,15 +14,21 @@ COUNTS = "redaction_counts"
 TOTAL = "redactions_total"
 
 
-def counts_struct(per_category: Mapping[str, Sequence[str]]) -> Column:
+def counts_struct(
+    per_category: Mapping[str, Sequence[str]], counted: str | None = None
+) -> Column:
     """Struct of the 17 counters, none null; passes of one category add up.
 
-    ``per_category`` names the count columns of each category.
+    ``per_category`` names the count columns of each category.  ``counted`` is a struct
+    whose counters come first where they are not null.
     """
     fields = []
     for field, category in COUNT_FIELDS.items():
         tallies = [f"coalesce({name}, 0L)" for name in per_category.get(category, ())]
-        fields.append(f"'{field}', {' + '.join(tallies) or '0L'}")
+        number = " + ".join(tallies) or "0L"
+        if counted and tallies:
+            number = f"coalesce({counted}.{field}, {number})"
+        fields.append(f"'{field}', {number}")
     return F.expr(f"named_struct({', '.join(fields)})")
 
 
